@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mix, pack, split
+from . import markup, mix, pack, split
 
 
 def queries() -> dict:
     return {
+        "p2_found": markup.p2_found,
+        "p2_clean": markup.p2_clean,
         "p5_found": split.p5_found,
         "p5_pieces": split.p5_pieces,
         "p6_found": pack.p6_found,
