@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import markup, mix, pack, split
+from . import markup, mix, pack, sentences, split
 
 
 def queries() -> dict:
     return {
         "p2_found": markup.p2_found,
         "p2_clean": markup.p2_clean,
+        "p4_found": sentences.p4_found,
+        "p4_sentences": sentences.p4_sentences,
         "p5_found": split.p5_found,
         "p5_pieces": split.p5_pieces,
         "p6_found": pack.p6_found,
