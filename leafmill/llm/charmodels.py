@@ -86,13 +86,14 @@ class CharModels:
         models = CharModels(langs)
         counts: list[list[Counter]] = []
         for lang in langs:
-            raw = Counter()
+            raw, types = Counter(), Counter()
             for text in texts[lang]:
-                for w in words(text):
-                    codes = (_BOS, *map(ord, w), _EOS)
-                    for i in range(1, len(codes)):
-                        for n in range(1, min(ORDER, i + 1) + 1):
-                            raw[codes[i - n + 1 : i + 1]] += 1
+                types.update(words(text))
+            for w, times in types.items():
+                codes = (_BOS, *map(ord, w), _EOS)
+                for i in range(1, len(codes)):
+                    for n in range(1, min(ORDER, i + 1) + 1):
+                        raw[codes[i - n + 1 : i + 1]] += times
             own = [Counter() for _ in range(ORDER + 1)]
             for gram, c in raw.items():
                 n = len(gram)

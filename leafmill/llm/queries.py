@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import markup, mix, pack, sentences, split
+from . import garbled, langid, markup, mix, pack, sentences, split
 
 
 def queries() -> dict:
     return {
+        "p1_found": langid.p1_found,
+        "p1_stretches": langid.p1_stretches,
         "p2_found": markup.p2_found,
         "p2_clean": markup.p2_clean,
         "p4_found": sentences.p4_found,
@@ -19,6 +21,8 @@ def queries() -> dict:
         "p7_found": mix.p7_found,
         "p7_shares": mix.p7_shares,
         "p7_copies": mix.p7_copies,
+        "p8_found": garbled.p8_found,
+        "p8_restored": garbled.p8_restored,
     }
 
 
