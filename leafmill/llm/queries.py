@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import garbled, langid, markup, mix, pack, sentences, split
+from . import garbled, langid, markup, mix, pack, sentences, split, unify
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "p1_stretches": langid.p1_stretches,
         "p2_found": markup.p2_found,
         "p2_clean": markup.p2_clean,
+        "p3_found": unify.p3_found,
+        "p3_unified": unify.p3_unified,
         "p4_found": sentences.p4_found,
         "p4_sentences": sentences.p4_sentences,
         "p5_found": split.p5_found,
