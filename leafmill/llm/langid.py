@@ -37,7 +37,6 @@ FRAME = 15.0
 LABELLED, LABELLED_SIZE = 60, 4000
 _MAYBE_MARKUP = re.compile(r"[<&`*_~$\\{#=\[]|''|--|^\s*(?:[-+•>|]|\d+[.)])", re.M)
 _QUOTED = re.compile(r"[“„«‹「『\"(（][^“”„«»「」『』\"()（）]*[”“»›」』\")）]")
-_INVISIBLE = re.compile("[​-‏⁠-⁤﻿­]")
 
 #: Codes of three letters and names that mean one of the two-letter codes.
 _CODES = {
@@ -91,8 +90,6 @@ class Identifier:
             blocks = [" ".join(b.split("\n")) for b in re.split(r"\n\s*\n", text)]
         out = []
         for b in blocks:
-            if not b.isascii():
-                b = _INVISIBLE.sub("", b)
             if len(b) > 40 or "." in b or not b.isascii():
                 out += rough_sentences(b)
             else:

@@ -34,6 +34,26 @@ _SCAN = re.compile(
     r"|^[ \t]*(?P<fence>`{3,}|~{3,})[ \t]*[\w+-]*[ \t]*$|\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?",
     re.S | re.M | re.I,
 )
+_AT = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?P<attrs>(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*|/)?)>|<(?:!doctype|\?xml)[^<>]*>", re.S | re.I)
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?")
+_KNOWN: dict[str, str] = {}
+
+
+def unescape(text: str) -> str:
+    """html.unescape, with each reference looked up once."""
+
+    def one(m: re.Match) -> str:
+        ref = m[0]
+        out = _KNOWN.get(ref)
+        if out is None:
+            out = html.unescape(ref)
+            if len(_KNOWN) < 50_000:
+                _KNOWN[ref] = out
+        return out
+
+    return _REFERENCE.sub(one, text)
+
+
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LIFT = re.compile(
     r"(?P<tick>`+)(?P<code>[^`\n](?:[^`]*[^`])?)(?P=tick)(?!`)"
@@ -93,7 +113,7 @@ _PUNCT = re.compile(r"[,.;:!?،؛؟।。，；：！？、]")
 
 def _text(flow: _Flow, text: str, path: list[str], region: int, depth: int) -> None:
     if "&" in text:
-        plain = html.unescape(text)
+        plain = unescape(text)
         if plain != text:
             flow.markup = True
             if depth < 2 and "<" in plain and (m := _SCAN.search(plain)) and (m["tag"] or "").lower() in _BLOCK | _INLINE:
@@ -109,7 +129,22 @@ def _tags(flow: _Flow, text: str, depth: int = 0) -> None:
     pos, path, region, n = 0, [], 0, len(text)
     skip: str | None = None
     level = 0
-    while m := _SCAN.search(text, pos):
+    # without fences and verbatim blocks only '<' matters
+    fenced = "```" in text or "~~~" in text or "\\begin{" in text
+    look = 0
+    while True:
+        if fenced:
+            m = _SCAN.search(text, pos)
+        else:
+            look = text.find("<", max(look, pos))
+            if look < 0:
+                break
+            m = _AT.match(text, look)
+            if m is None:
+                look += 1
+                continue
+        if m is None:
+            break
         start, end = m.span()
         tag = m["tag"]
         if tag is not None:
@@ -124,6 +159,8 @@ def _tags(flow: _Flow, text: str, depth: int = 0) -> None:
         flow.markup = True
         pos = end
         if tag is None:
+            if not fenced:
+                continue
             if m["fence"] and not skip:
                 mark = m["fence"]
                 close = re.compile(rf"^[ \t]*{mark[0]}{{{len(mark)},}}[ \t]*$", re.M).search(text, end)
@@ -233,7 +270,7 @@ def parse(text: str | None) -> Page:
     flow = _Flow()
     if _PRIVATE.search(text):
         text = _PRIVATE.sub(" ", text)
-    wiki = "=" in text and _wiki(text) or "[[" in text or "'''" in text or "{{" in text
+    wiki = "[[" in text or "'''" in text or "{{" in text or "==" in text and _wiki(text)
     if "<" in text or "&" in text or "```" in text or "~~~" in text or "\\begin{" in text:
         _tags(flow, text)
         if drop := _ratios(flow):
