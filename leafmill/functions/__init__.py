@@ -1 +1,3 @@
+from . import text, unicode
 
+__all__ = ["text", "unicode"]
