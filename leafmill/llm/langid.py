@@ -73,11 +73,29 @@ class Identifier:
         self.models = models
         self.repairer = Repairer(clean or models)
 
-    def cut(self, texts: Sequence[str | None], repair: Sequence[bool]) -> list[tuple[list[str], str | None]]:
-        """sentences() of each text, repaired first where asked."""
-        at = [i for i, (t, r) in enumerate(zip(texts, repair)) if r and t and not t.isascii()]
-        fixed = dict(zip(at, (x[0] for x in self.repairer.repair_all([texts[i] for i in at]))))
-        return [self.sentences(fixed.get(i, t)) if t else ([], None) for i, t in enumerate(texts)]
+    def read(self, texts: Sequence[str | None], repair: Sequence[bool]) -> list[tuple[list[str], str | None, np.ndarray, np.ndarray]]:
+        """Of each text its sentences, the page's lang, and the sentences' scores and sizes. Where asked, a text that looks garbled in
+        its own language is repaired and read again."""
+        cut = [self.sentences(t) if t else ([], None) for t in texts]
+        scores = self.scored([c[0] for c in cut])
+        again: dict[int, str] = {}
+        langs = self.models.langs
+        for i, (t, r) in enumerate(zip(texts, repair)):
+            if r and t and langs and not t.isascii():
+                s, n = scores[i]
+                top = None
+                if len(n) and (size := n.sum()):
+                    total = s.sum(axis=0)
+                    k = int(total.argmax())
+                    top = (langs[k], -total[k] / size)
+                fixed, garbled, _ = self.repairer.repair(t, top)
+                if garbled and fixed != t:
+                    again[i] = fixed
+        if again:
+            new = [self.sentences(t) for t in again.values()]
+            for i, c, x in zip(again, new, self.scored([c[0] for c in new])):
+                cut[i], scores[i] = c, x
+        return [(*c, *x) for c, x in zip(cut, scores)]
 
     def sentences(self, text: str) -> tuple[list[str], str | None]:
         """Sentences, headings and items of the content; the html element's lang."""
@@ -115,33 +133,45 @@ class Identifier:
             start += len(t)
         return out
 
-    def present(self, s: np.ndarray, n: np.ndarray) -> list[str]:
+    def present_all(self, scores: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[list[str]]:
+        """Languages present in each text: all its sure sentences, or LEAST of them, are in it. A text without sure sentences is of
+        the language it fits best as a whole, if that is within the limits."""
         langs = self.models.langs
-        if not len(n) or not n.any():
-            return []
-        if len(langs) == 1:
-            return list(langs)
-        order = np.argpartition(-s, 1, axis=1)[:, :2]
-        a, b = np.take_along_axis(s, order, 1).T
-        flip = b > a
-        top = np.where(flip, order[:, 1], order[:, 0])
-        gap = np.abs(a - b)
-        best = np.maximum(a, b)
+        if not langs or not scores:
+            return [[] for _ in scores]
+        s, n = np.concatenate([x[0] for x in scores]), np.concatenate([x[1] for x in scores])
+        if not len(n):
+            return [[] for _ in scores]
+        if len(langs) > 1:
+            order = np.argpartition(-s, 1, axis=1)[:, :2]
+            pair = np.take_along_axis(s, order, 1)
+            first = pair[:, 0] >= pair[:, 1]
+            top, best, gap = np.where(first, order[:, 0], order[:, 1]), pair.max(axis=1), np.abs(pair[:, 0] - pair[:, 1])
+        else:
+            top, best, gap = np.zeros(len(n), int), s[:, 0], np.full(len(n), np.inf)
         sure = (gap >= SURE) & (n > 3) & (-best <= self.models.limits[top] * STRETCH * n)
-        if not sure.any():
-            whole = s.sum(axis=0)
-            k = int(whole.argmax())
-            return [langs[k]] if -whole[k] <= self.models.limits[k] * STRETCH * n.sum() else []
-        counts = np.bincount(top[sure], minlength=len(langs))
-        sizes = np.bincount(top[sure], weights=n[sure], minlength=len(langs))
-        main = int(sizes.argmax())
-        near = sure & (top != main) & (best - s[:, main] < APART * n)
-        if near.any():
-            counts = counts - np.bincount(top[near], minlength=len(langs))
-        out = [k for k in range(len(langs)) if counts[k] >= LEAST]
-        if not out and (counts > 0).sum() == 1:
-            out = [main]
-        return [langs[k] for k in out]
+        out, at = [], 0
+        for own_s, own_n in scores:
+            end = at + len(own_n)
+            own = top[at:end][sure[at:end]]
+            if not len(own):
+                whole = own_s.sum(axis=0) if len(own_n) else None
+                k = int(whole.argmax()) if whole is not None else 0
+                out.append([langs[k]] if whole is not None and own_n.any() and -whole[k] <= self.models.limits[k] * STRETCH * own_n.sum() else [])
+            elif (own == own[0]).all():
+                out.append([langs[own[0]]])
+            else:
+                keep = sure[at:end]
+                sizes = np.bincount(own, weights=own_n[keep], minlength=len(langs))
+                main = int(sizes.argmax())
+                near = (own != main) & (best[at:end][keep] - own_s[keep, main] < APART * own_n[keep])
+                counts = np.bincount(own[~near], minlength=len(langs))
+                found = [k for k in range(len(langs)) if counts[k] >= LEAST]
+                if not found and (counts > 0).sum() == 1:
+                    found = [main]
+                out.append([langs[k] for k in found])
+            at = end
+        return out
 
     def stretches(self, sentences: Sequence[str], s: np.ndarray, n: np.ndarray) -> list[Stretch]:
         """Runs of sentences in one language. confidence: the language's share of the likelihood, tempered by length."""
@@ -205,8 +235,7 @@ def refined(spark, sf_dir: str) -> Identifier:
     share = F.create_map(*[F.lit(x) for c in counts for x in (c, min(1.0, LABELLED / by[_CODES.get(c, c)]))])
     chosen = rows.where(u < share[F.col("code")]).select("doc_id", "code", "text").limit(4 * LABELLED * len(clean.langs)).collect()
     first = Identifier(clean)
-    cut = first.cut([r[2] for r in chosen], [True] * len(chosen))
-    for r, (sentences, _), (s, n) in zip(chosen, cut, first.scored([c[0] for c in cut])):
+    for r, (sentences, _, s, n) in zip(chosen, first.read([r[2] for r in chosen], [True] * len(chosen))):
         k = clean.langs.index(_CODES.get(r[1], r[1]))
         for text, x, size in zip(sentences, s, n):
             if size > 8 and x.argmax() == k and x[k] - np.partition(x, -2)[-2] >= 2 * SURE:
@@ -222,10 +251,9 @@ def label_cases(df: DataFrame, own: Identifier, out: str = "langs") -> DataFrame
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for names, labels, texts in batches:
-            cut = own.cut([t if isinstance(t, str) else None for t in texts], [name == _FIELDS[0] for name in names])
+            read = own.read([t if isinstance(t, str) else None for t in texts], [name == _FIELDS[0] for name in names])
             rows = []
-            for name, label, (sentences, lang), (s, n) in zip(names, labels, cut, own.scored([c[0] for c in cut])):
-                found = own.present(s, n)
+            for name, label, (_, lang, _, _), found in zip(names, labels, read, own.present_all([x[2:] for x in read])):
                 code = label_code(lang if name == _FIELDS[3] else None if label is None or label != label else label)
                 rows.append(found if found and (len(found) > 1 or code not in found) else None)
             yield pd.Series(rows, dtype=object)
@@ -245,8 +273,8 @@ def p1_stretches(spark, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for names, texts in batches:
-            cut = [c[0] for c in own.cut([t if isinstance(t, str) else None for t in texts], [name == _FIELDS[0] for name in names])]
-            yield pd.Series([[{"stretch_no": i, "lang": x.lang, "confidence": round(x.confidence, 6), "sentences": x.sentences, "characters": len(x.text)} for i, x in enumerate(own.stretches(c, s, n), 1)] for c, (s, n) in zip(cut, own.scored(cut))], dtype=object)
+            read = own.read([t if isinstance(t, str) else None for t in texts], [name == _FIELDS[0] for name in names])
+            yield pd.Series([[{"stretch_no": i, "lang": x.lang, "confidence": round(x.confidence, 6), "sentences": x.sentences, "characters": len(x.text)} for i, x in enumerate(own.stretches(c, s, n), 1)] for c, _, s, n in read], dtype=object)
 
     rows = F.pandas_udf(run, "array<struct<stretch_no:int,lang:string,confidence:double,sentences:int,characters:int>>")
     return _records(spark, sf_dir).select("field_name", "record_id", F.explode(rows("field_name", "text")).alias("s")).select("field_name", "record_id", "s.*").distinct()

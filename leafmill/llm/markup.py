@@ -477,6 +477,20 @@ def clean_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else clean(parse(t)) for t in texts], dtype=object)
 
 
+def structure(df: DataFrame, text: str, out: str = "structure") -> DataFrame:
+    """Adds ARRAY<INT>: headings, list items, code blocks, formulas; null for texts without markup, null and empty ones.
+
+    A column named out is replaced; others pass through, whatever their names."""
+    counts = F.pandas_udf(structure_udf, "array<int>")
+    maybe = F.col(text).rlike(_MAYBE)
+    return df.withColumn(out, F.when(maybe, counts(F.when(maybe, F.col(text)))))
+
+
+def clean_text(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:
+    """Adds the clean text; null stays null, empty stays empty."""
+    return df.withColumn(out, F.pandas_udf(clean_udf, "string")(F.col(text)))
+
+
 def _fields(spark, sf_dir: str) -> list[tuple[str, DataFrame]]:
     documents = table(spark, sf_dir, "documents", F.col("doc_id").alias("record_id"), F.col("text"))
     keep = table(spark, sf_dir, "keep_jobs", "job_id", "source", "html")
@@ -493,10 +507,9 @@ _MAYBE = r"[<&`*_~$\\{#=\[]|--|''|(?m)^\s*(?:[-+•>|]|\d+[.)])"
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """Copies of a re-delivered job give the same rows; they fall together in the last distinct, which moves ids and counts only."""
-    counts = F.pandas_udf(structure_udf, "array<int>")
     each = None
     for name, df in _fields(spark, sf_dir):
-        rows = df.where(F.col("text").isNotNull()).where(F.col("text").rlike(_MAYBE)).select(F.lit(name).alias("field_name"), "record_id", counts("text").alias("n"))
+        rows = structure(df.where(F.col("text").rlike(_MAYBE)), "text", "n").select(F.lit(name).alias("field_name"), "record_id", "n")
         each = rows if each is None else each.unionByName(rows)
     each = each.where("n is not null").distinct()
     kinds = [("markup", None), *((k, i) for i, k in enumerate(("heading", "list_item", "code_block", "formula")))]
@@ -507,11 +520,10 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 def p2_clean(spark, sf_dir: str) -> DataFrame:
     """Clean text of every record of the three fields."""
-    to = F.pandas_udf(clean_udf, "string")
     each = None
     for name, df in _fields(spark, sf_dir):
         if name != "documents.text":
             df = df.dropDuplicates(["record_id"])
-        rows = df.where("text is not null").select(F.lit(name).alias("field_name"), "record_id", to("text").alias("clean_text"))
+        rows = clean_text(df.where("text is not null"), "text").select(F.lit(name).alias("field_name"), "record_id", "clean_text")
         each = rows if each is None else each.unionByName(rows)
     return each

@@ -19,6 +19,8 @@ from ..sources import shared_checkpoint, table
 
 #: Fractional documents one task of the tree takes, at most about.
 FAN_IN = 4096
+#: Stands for a missing id inside the operator.
+NO_ID = -(2**63)
 _SCHEMA = "mix_id int, source string, item long, size long, copies int, rest double, part int"
 
 
@@ -97,9 +99,9 @@ def mix_sources(items: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[Da
 
     copies: mix_id, source, item, size, copies for every document with at least one copy. targets is a parameter table of
     a few rows. Rows without a source belong to no mix. Null sizes count as 0. A source without documents gets no copies and
-    keeps its row in plan. Two documents of the same id are two documents.
+    keeps its row in plan. Two documents of the same id are two documents. A null id stays null. Other columns are left out.
     """
-    items = items.select(F.col("item").cast("long").alias("item"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    items = items.select(F.coalesce(F.col("item").cast("long"), F.lit(NO_ID)).alias("item"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     plan = mix_plan(items, targets)
     rows = plan.select("mix_id", "source", "copies_each").limit(100_001).collect()
     if len(rows) > 100_000:
@@ -148,7 +150,7 @@ def mix_sources(items: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[Da
         loose = loose.withColumn("_to", F.floor(F.col("part") / FAN_IN)).groupBy("mix_id", "source", "_to").applyInPandas(lambda rows: merge(rows.drop(columns="_to")), _SCHEMA)
         if last:
             break
-    copies = whole.unionByName(loose).where("copies > 0").select("mix_id", "source", "item", "size", "copies")
+    copies = whole.unionByName(loose).where("copies > 0").select("mix_id", "source", F.when(F.col("item") != NO_ID, F.col("item")).alias("item"), "size", "copies")
     return copies, plan
 
 

@@ -8,8 +8,6 @@ underfull bins; a bin that empties is dropped. A second round packs the underful
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +18,8 @@ from ..sources import shared_checkpoint, table
 SHARD_ITEMS = 20_000
 #: A bin with less than this share filled goes to the second round.
 UNDERFULL = 0.98
+#: Stands for a missing id inside the operator.
+NO_ID = -(2**63)
 #: Partners looked at for each bin in a round of the search, and rounds of the search.
 PARTNERS, ROUNDS = 24, 6
 
@@ -103,8 +103,8 @@ def fill_containers(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """items(item LONG, size LONG), capacities(pack_id, capacity_tokens) -> pack_id, container, item, part, parts, size, fill.
 
     An item over the capacity is cut in parts of the capacity and a rest, the parts alone in their containers, the rest packed
-    like any item. Null or negative sizes count as 0; an item of size 0 is placed. Equal items are placed each. No items, no
-    rows. capacities is a parameter table of a few rows and is read to the driver; a null or non-positive one is an error.
+    like any item. Null or negative sizes count as 0; an item of size 0 is placed. Equal items are placed each, a null id stays
+    null. No items, no rows. Other columns are left out. capacities is a parameter table of a few rows and is read to the driver; a null or non-positive one is an error.
     """
     packs = [(r[0], r[1]) for r in capacities.select("pack_id", "capacity_tokens").limit(1001).collect()]
     if len(packs) > 1000 or any(not c or c <= 0 for _, c in packs):
@@ -113,7 +113,7 @@ def fill_containers(items: DataFrame, capacities: DataFrame) -> DataFrame:
         packs, items = [(0, 1)], items.limit(0)
     each = F.explode(F.array(*[F.struct(F.lit(int(p)).alias("pack_id"), F.lit(int(c)).cast("long").alias("capacity")) for p, c in packs])).alias("_p")
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long")
-    rows = items.select(F.col("item").cast("long").alias("item"), size.alias("size"), each).select("_p.pack_id", "_p.capacity", "item", "size")
+    rows = items.select(F.coalesce(F.col("item").cast("long"), F.lit(NO_ID)).alias("item"), size.alias("size"), each).select("_p.pack_id", "_p.capacity", "item", "size")
     cut = rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")).cast("int")))))
     cut = cut.withColumn("size", F.least(F.col("capacity"), F.col("size") - (F.col("part") - 1) * F.col("capacity")))
     total = items.count()
@@ -121,7 +121,8 @@ def fill_containers(items: DataFrame, capacities: DataFrame) -> DataFrame:
     again = F.col("fill") < F.col("capacity") * UNDERFULL
     loose = first.where(again).select("pack_id", "capacity", "item", "part", "size")
     second = _shards(loose, max(1, -(-loose.count() // SHARD_ITEMS)), "b")
-    return first.where(~again).unionByName(second).drop("shard")
+    placed = first.where(~again).unionByName(second).drop("shard")
+    return placed.withColumn("item", F.when(F.col("item") != NO_ID, F.col("item")))
 
 
 def document_containers(spark, sf_dir: str) -> DataFrame:

@@ -436,7 +436,9 @@ def unified(df: DataFrame, text: str, out: str = "unified", page: bool = False)
 
 def word_cases(words: DataFrame, group: str, text: str) -> DataFrame:
     """Words with their found struct and `is_case`: certain ones, and those that the scripts of their group (one file, one language)
-    decide. Groups are summed map-side to one row; only undecided words are joined to their group."""
+    decide. Groups are summed map-side to one row; only undecided words are joined to their group. Words without a group stand for
+    themselves. Columns found and is_case of the input are replaced."""
+    words = words.drop("found", "is_case", *[f"_{x}" for x in ("latin", "cyrillic", "greek", "east", "other")])
     seen = look_alikes(words, text)
     sums = seen.groupBy(group).agg(*[F.sum(f"found.{x}").alias(f"_{x}") for x in ("latin", "cyrillic", "greek", "east", "other")])
     sure = seen.where("found.case").withColumn("is_case", F.lit(True))
