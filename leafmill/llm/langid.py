@@ -27,6 +27,8 @@ from .sentences import rough_sentences
 SURE = 6.0
 #: A held-out limit is stretched so, as whole domains are missing in the samples.
 STRETCH = 2.5
+#: No language is told beyond so many nats a character, near what a character never seen costs.
+MOST = 8.5
 #: Sentences from which a language is present beside another.
 LEAST = 2
 #: A sentence counts for another than the text's main language if it fits that by so many nats a character better.
@@ -71,6 +73,7 @@ class Identifier:
     def __init__(self, models: CharModels, clean: CharModels | None = None) -> None:
         """models tell languages; clean, those of the clean samples alone, tell garbled text."""
         self.models = models
+        self.limits = np.minimum(models.limits * STRETCH, MOST)
         self.repairer = Repairer(clean or models)
 
     def read(self, texts: Sequence[str | None], repair: Sequence[bool]) -> list[tuple[list[str], str | None, np.ndarray, np.ndarray]]:
@@ -149,7 +152,7 @@ class Identifier:
             top, best, gap = np.where(first, order[:, 0], order[:, 1]), pair.max(axis=1), np.abs(pair[:, 0] - pair[:, 1])
         else:
             top, best, gap = np.zeros(len(n), int), s[:, 0], np.full(len(n), np.inf)
-        sure = (gap >= SURE) & (n > 3) & (-best <= self.models.limits[top] * STRETCH * n)
+        sure = (gap >= SURE) & (n > 3) & (-best <= self.limits[top] * n)
         out, at = [], 0
         for own_s, own_n in scores:
             end = at + len(own_n)
@@ -157,7 +160,7 @@ class Identifier:
             if not len(own):
                 whole = own_s.sum(axis=0) if len(own_n) else None
                 k = int(whole.argmax()) if whole is not None else 0
-                out.append([langs[k]] if whole is not None and own_n.any() and -whole[k] <= self.models.limits[k] * STRETCH * own_n.sum() else [])
+                out.append([langs[k]] if whole is not None and own_n.any() and -whole[k] <= self.limits[k] * own_n.sum() else [])
             elif (own == own[0]).all():
                 out.append([langs[own[0]]])
             else:
@@ -196,7 +199,7 @@ class Identifier:
         out = []
         for k, at in runs:
             score, size = s[at].sum(axis=0), n[at].sum()
-            if size and -score[k] > self.models.limits[k] * STRETCH * size:
+            if size and -score[k] > self.limits[k] * size:
                 out.append(Stretch("und", 0.0, len(at), "".join(sentences[i] for i in at)))
                 continue
             x = (score - score.max()) / math.sqrt(max(1.0, size))

@@ -65,7 +65,7 @@ def tables() -> Tables:
     long_size = np.zeros(SIZE, np.int32)
     pool: list[int] = []
     pairs: dict[int, int] = {}
-    for a, b in ((0x41, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)):
+    for a, b in ((0x41, 0x24F), (0x250, 0x2AF), (0xFB00, 0xFB06), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)):
         script[a : b + 1] = LATIN
     for n, spans in ((CYRILLIC, ((0x400, 0x52F),)), (GREEK, ((0x370, 0x3FF), (0x1F00, 0x1FFF))), (ARABIC, ((0x600, 0x6FF), (0x750, 0x77F))), (INDIC, ((0x900, 0x97F),)), (THAI, ((0xE00, 0xE7F),)), (HAN, ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x9FFF), (0xF900, 0xFAFF))), (KANA, ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)))):
         for a, b in spans:
@@ -271,7 +271,9 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
     row = np.repeat(np.arange(rows), np.diff(starts))
     safe = np.where(codes < SIZE, codes, 0)
     kind = t.kind[safe]
-    script = t.script[safe]
+    # a variant counts for the script of what it becomes
+    shown = np.where((kind == VARIANT) & (t.to[safe] < SIZE), t.to[safe], safe)
+    script = t.script[shown]
     flag = np.zeros(len(codes), bool)
     emoji = t.emoji[safe]
     beside = np.append(False, emoji[:-1]) | np.append(emoji[1:], False) | np.append(np.append(False, False), emoji[:-2])[: len(codes)]
@@ -312,11 +314,11 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
             for b in (LATIN, CYRILLIC, GREEK):
                 if a == b:
                     continue
-                like = t.like[a, b][safe]
+                like = t.like[a, b][shown]
                 alike = np.bincount(run[inside & (script == a) & (like > 0)], minlength=count)
                 # in a mixed run: a is lesser, or as many and b rules around
                 lesser = (by[:, a] < by[:, b]) | (by[:, a] == by[:, b]) & ((near[:, b - 1] > near[:, a - 1]) | (near.sum(axis=1) == 0) & (b == LATIN))
-                back = np.bincount(run[inside & (script == b) & (t.like[b, a][safe] > 0)], minlength=count)
+                back = np.bincount(run[inside & (script == b) & (t.like[b, a][shown] > 0)], minlength=count)
                 # or all of a's letters look like b's, and not the other way round
                 lesser = lesser & (alike == by[:, a]) | (alike == by[:, a]) & (back < by[:, b]) | lesser & (back < by[:, b]) & (by[:, a] * 2 <= by[:, b])
                 hit = mixed & (alike > 0) & lesser & (by[:, b] > 0) & ~symbol
