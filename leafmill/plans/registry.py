@@ -114,7 +114,7 @@ def book_budgets(spark, sf_dir):
     return rows.select("book_id", "words", "b.target", "b.least", "b.most")
 
 
-@query("""SELECT chapter_no, CAST(round_even(chapter_no * 12.5, 0) AS INTEGER) AS target, CAST(floor(round_even(chapter_no * 12.5, 0) * 0.9) AS INTEGER) AS least, CAST(ceil(round_even(chapter_no * 12.5, 0) * 1.1) AS INTEGER) AS most
+@query("""SELECT chapter_no, CAST(round_even(chapter_no * 12.5, 0) AS INTEGER) AS target, CAST(floor(round_even(chapter_no * 12.5, 0) * CAST(0.9 AS DOUBLE)) AS INTEGER) AS least, CAST(ceil(round_even(chapter_no * 12.5, 0) * CAST(1.1 AS DOUBLE)) AS INTEGER) AS most
   FROM (SELECT DISTINCT chapter_no FROM documents WHERE chapter_no IS NOT NULL)""")
 def word_targets(spark, sf_dir):
     rows = documents(spark, sf_dir, "chapter_no").where("chapter_no is not null").distinct().withColumn("t", T.word_target(F.col("chapter_no") / 16.0))
@@ -252,7 +252,7 @@ def batches_paged(spark, sf_dir):
   o AS (SELECT *, row_number() OVER (PARTITION BY job_kind, job_id, chapter ORDER BY unit_no) AS rn FROM c),
   r AS (SELECT o.*, CAST(n AS BIGINT) AS size, 1 AS chunk FROM o WHERE rn = 1
     UNION ALL SELECT o.*, CAST(CASE WHEN r.size + o.n > 4000 THEN o.n ELSE r.size + o.n END AS BIGINT), CAST(CASE WHEN r.size + o.n > 4000 THEN r.chunk + 1 ELSE r.chunk END AS INTEGER) FROM r JOIN o ON r.job_kind = o.job_kind AND r.job_id = o.job_id AND r.chapter = o.chapter AND o.rn = r.rn + 1),
-  k AS (SELECT job_kind, job_id, chapter, chunk, sum(n) AS n, row_number() OVER (PARTITION BY job_kind, job_id ORDER BY chapter, chunk) AS rn FROM r GROUP BY ALL),
+  g AS (SELECT job_kind, job_id, chapter, chunk, sum(n) AS n FROM r GROUP BY job_kind, job_id, chapter, chunk), k AS (SELECT *, row_number() OVER (PARTITION BY job_kind, job_id ORDER BY chapter, chunk) AS rn FROM g),
   b AS (SELECT k.*, CAST(n AS BIGINT) AS size, 1 AS batch_no FROM k WHERE rn = 1
     UNION ALL SELECT k.*, CAST(CASE WHEN b.size + k.n > 4000 THEN k.n ELSE b.size + k.n END AS BIGINT), CAST(CASE WHEN b.size + k.n > 4000 THEN b.batch_no + 1 ELSE b.batch_no END AS INTEGER) FROM b JOIN k ON b.job_kind = k.job_kind AND b.job_id = k.job_id AND k.rn = b.rn + 1)
   SELECT r.unit_key, b.batch_no FROM r JOIN b ON r.job_kind = b.job_kind AND r.job_id = b.job_id AND r.chapter = b.chapter AND r.chunk = b.chunk""")
@@ -438,9 +438,9 @@ def word_groups(spark, sf_dir):
     return rows.groupBy(*geometry.LINE).agg((F.max("group_no") + 1).alias("groups"), F.count("*").alias("words"))
 
 
-@query(f"""WITH {_PAGE_LINES}, d AS (SELECT evidence_id, round(top - lag(top) OVER (PARTITION BY evidence_id, page_number ORDER BY line_no), 3) AS leading FROM l),
-  o AS (SELECT evidence_id, leading, row_number() OVER (PARTITION BY evidence_id ORDER BY leading) - 1 AS i, count(*) OVER (PARTITION BY evidence_id) AS n FROM d WHERE leading IS NOT NULL)
-  SELECT evidence_id, max(leading) FILTER (i = n // 2) AS upper_median, max(leading) FILTER (i = floor(n * 0.9)) AS p90, max(leading) FILTER (i = floor((n - 1) * 0.95)) AS p95 FROM o GROUP BY evidence_id""")
+@query(f"""WITH {_PAGE_LINES}, d AS (SELECT evidence_id, round(top - lag(top) OVER (PARTITION BY evidence_id, page_number ORDER BY line_no), 3) AS gap FROM l),
+  o AS (SELECT evidence_id, gap, row_number() OVER (PARTITION BY evidence_id ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY evidence_id) AS n FROM d WHERE gap IS NOT NULL)
+  SELECT evidence_id, max(gap) FILTER (i = n // 2) AS upper_median, max(gap) FILTER (i = floor(n * 0.9)) AS p90, max(gap) FILTER (i = floor((n - 1) * 0.95)) AS p95 FROM o GROUP BY evidence_id""")
 def leading_statistics(spark, sf_dir):
     words = geometry.page_words(spark, sf_dir, *geometry.LINE, "word_no", "text", "top", "bottom", "x0", "x1", "size_pt")
     ranked = geometry.ranked_values(geometry.leading(geometry.page_lines(words)), ["evidence_id"], "leading")
