@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,9 +26,10 @@ def templated_labels(units: DataFrame) -> DataFrame:
     rows = units.where(F.col("kind").startswith("attribute:") | (F.col("kind") == "title") | F.col("kind").rlike("^h[1-6]$"))
     rows = rows.where(label.rlike("^.*?\\D\\d+\\D*$")).select("unit_key", "job_kind", "job_id", "unit_no", "unit_id", "kind", T.casefold(parts[0]).alias("prefix"), parts[1].alias("number"), T.casefold(parts[2]).alias("suffix"))
     rows = rows.where(F.col("prefix").rlike("[\\p{L}\\p{N}_]"))
-    w = Window.partitionBy("job_kind", "job_id", "kind", "prefix", "suffix").orderBy("unit_no")
-    out = rows.withColumn("template_of", F.first("unit_id").over(w)).withColumn("template_number", F.first("number").over(w)).withColumn("i", F.row_number().over(w))
-    return out.where("i > 1").select("unit_key", "template_of", "template_number", "number")
+    keys = ["job_kind", "job_id", "kind", "prefix", "suffix"]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct("unit_no", "unit_id", "number"), "unit_no").alias("f"))
+    out = rows.join(first, keys).where(F.col("unit_no") > F.col("f.unit_no"))
+    return out.select("unit_key", F.col("f.unit_id").alias("template_of"), F.col("f.number").alias("template_number"), "number")
 
 
 def resolved(units: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def bootstrap_pages(units: DataFrame) -> DataFrame:
 
 def quartile_samples(units: DataFrame) -> DataFrame:
     """The first 1,200 characters of the paragraphs a quarter, half and all but one through each job."""
-    job = Window.partitionBy("job_kind", "job_id")
     rows = units.where("kind = 'p'").select("unit_key", "job_kind", "job_id", "unit_no")
-    rows = rows.withColumn("i", F.row_number().over(job.orderBy("unit_no")) - 1).withColumn("n", F.count("*").over(job))
+    counts = rows.groupBy("job_kind", "job_id").agg(F.count("*").alias("n"))
+    rows = running_sum(rows, ["job_kind", "job_id"], "unit_no", F.lit(1), "i").withColumn("i", F.col("i") - 1).join(counts, ["job_kind", "job_id"])
     at = (F.col("i") == F.floor(F.col("n") / 4)) | (F.col("i") == F.floor(F.col("n") / 2)) | (F.col("i") == F.greatest(F.lit(0), F.col("n") - 2))
     chosen = rows.where(at).select("unit_key", F.col("i").alias("position"))
     return units.select("unit_key", "plain_text").join(chosen, "unit_key").select("unit_key", "position", F.substring("plain_text", 1, 1200).alias("sample"))

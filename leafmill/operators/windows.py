@@ -29,3 +29,19 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, ou
     """Number of the island each row lies in: starts is true (over lag columns already there) where a new one begins."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def neighbours(df: DataFrame, keys: list[str], place: str, column: str, before: str, after: str, block: int = BLOCK) -> DataFrame:
+    """The column's value in the row before and after along place (an integer, unique in its group).
+
+    Rows look within their block; the first and last of each block are joined to the edges of the nearest blocks, one row a block.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(place) / block))
+    own = Window.partitionBy(*keys, "_block").orderBy(place)
+    edges = rows.groupBy(*keys, "_block").agg(F.min_by(column, place).alias("_first"), F.max_by(column, place).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    edges = edges.select(*keys, "_block", F.lag("_last").over(along).alias("_left"), F.lead("_first").over(along).alias("_right"))
+    rows = rows.withColumn(before, F.lag(column).over(own)).withColumn(after, F.lead(column).over(own)).withColumn("_i", F.row_number().over(own)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_block")))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*keys, "_block")]
+    both = rows.alias("r").join(edges.alias("e"), on, "left").select("r.*", "e._left", "e._right")
+    return both.withColumn(before, F.when(F.col("_i") == 1, F.col("_left")).otherwise(F.col(before))).withColumn(after, F.when(F.col("_i") == F.col("_n"), F.col("_right")).otherwise(F.col(after))).drop("_block", "_i", "_n", "_left", "_right")

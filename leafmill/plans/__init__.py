@@ -1 +1,3 @@
+from . import more, registry
 
+__all__ = ["more", "registry"]

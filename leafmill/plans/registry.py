@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
-from ..operators import alignment, batching, findings, geometry, memory, pages, quality, ranking, timeline, units
-from ..sources import deduplicate, table
+from ..operators import alignment, batching, findings, geometry, memory, pages, quality, ranking, timeline, units, windows
+from ..sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,8 +211,7 @@ def quartile_samples(spark, sf_dir):
 
 @query(f"WITH {_UNITS} SELECT unit_key, lag(unit_id) OVER w AS before, lead(unit_id) OVER w AS after FROM u WINDOW w AS (PARTITION BY job_kind, job_id ORDER BY unit_no)")
 def unit_neighbours(spark, sf_dir):
-    w = Window.partitionBy("job_kind", "job_id").orderBy("unit_no")
-    return units.job_units(spark, sf_dir, "unit_id").select("unit_key", F.lag("unit_id").over(w).alias("before"), F.lead("unit_id").over(w).alias("after"))
+    return windows.neighbours(units.job_units(spark, sf_dir, "unit_id"), ["job_kind", "job_id"], "unit_no", "unit_id", "before", "after").select("unit_key", "before", "after")
 
 
 # batching

@@ -94,6 +94,15 @@ def test_running_sum_blocks(spark):
             assert got[g, i] == total
 
 
+def test_neighbours_over_blocks(spark):
+    df = spark.createDataFrame([(g, i, f"{g}{i}") for g in "ab" for i in range(0, 60, 3)], "g string, i long, v string")
+    got = {r["v"]: (r["p"], r["n"]) for r in windows.neighbours(df, ["g"], "i", "v", "p", "n", block=10).collect()}
+    for g in "ab":
+        own = [f"{g}{i}" for i in range(0, 60, 3)]
+        for x, y, z in zip([None, *own], own, [*own[1:], None]):
+            assert got[y] == (x, z)
+
+
 def brute_pack(rule, sizes, limit, pages_=None, chapters=None):
     out, batch, size, open_, page = [], 1, 0, False, None
     if rule == "two_level":
@@ -242,3 +251,27 @@ def test_chapter_reasons(spark):
     df = spark.createDataFrame(rows, "unit_key long, job_kind string, job_id long, unit_no int, kind string, plain_text string")
     got = [r["reason"] for r in units.chapter_table(units.assign_chapters(df)).orderBy("chapter").collect()]
     assert got == ["contents", "bibliography", None]
+
+
+def test_draft_spans():
+    from leafmill.operators.spans import distribute, draft_spans
+
+    text = "One. " + "word " * 100 + "end. Tail"
+    got = draft_spans(text, 60)
+    assert all(b - a <= 60 for a, b in got) and " ".join(text[a:b] for a, b in got).split() == text.split()
+    assert draft_spans(None) == [] == draft_spans("")
+    assert [len(x) for x in distribute(list("abcdef"), [1, 2, 3])] == [1, 2, 3] and distribute(["a"], [0, 0]) == [["a"], []]
+
+
+def test_contracts(spark):
+    from leafmill.operators import contracts as C
+
+    scores = spark.createDataFrame([("ok", 0.8, 0.4, 0.6, 0.65), ("off", 0.8, 0.4, 0.6, 0.7), ("out", 1.2, 0.4, 0.6, 0.65), ("null", None, 0.4, 0.6, 0.65)], "id string, centrality double, recurrence double, originality double, score double")
+    assert {(r["location"], r["category"]) for r in C.score_findings(scores, "id").collect()} == {("off", "score-sum"), ("out", "score-range"), ("null", "score-range")}
+    cited = spark.createDataFrame([("a", ["u1"]), ("b", ["u9"]), ("c", [])], "id string, ids array<string>")
+    allowed = spark.createDataFrame([("u1",)], "u string")
+    assert {(r["location"], r["category"]) for r in C.id_findings(cited, "id", "ids", allowed, "u").collect()} == {("b", "unknown-id"), ("c", "no-source")}
+    lists = spark.createDataFrame([("a", ["x", "y"], ["x", "y"]), ("b", ["y", "x"], ["x", "y"]), ("c", ["x"], ["x", "y"])], "id string, got array<string>, want array<string>")
+    assert {(r["location"], r["category"]) for r in C.order_findings(lists, "id", "got", "want").collect()} == {("b", "order"), ("c", "coverage")}
+    terms = spark.createDataFrame([("g", "A"), ("g", "a "), ("g", "x,y"), ("g", "")], "g string, t string")
+    assert sorted(r["category"] for r in C.term_findings(terms, "g", "t").collect()) == ["term-form", "term-form", "term-repeated"]
