@@ -117,7 +117,7 @@ def _text(flow: _Flow, text: str, path: list[str], region: int, depth: int) -> N
         if plain != text:
             flow.markup = True
             if depth < 2 and "<" in plain and (m := _SCAN.search(plain)) and (m["tag"] or "").lower() in _BLOCK | _INLINE:
-                _tags(flow, plain, depth + 1)
+                _tags(flow, plain, depth + 1, tuple(path), region)
                 return
             text = plain
     if not text.isspace():
@@ -125,8 +125,8 @@ def _text(flow: _Flow, text: str, path: list[str], region: int, depth: int) -> N
     flow.out.append(text)
 
 
-def _tags(flow: _Flow, text: str, depth: int = 0) -> None:
-    pos, path, region, n = 0, [], 0, len(text)
+def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (), region: int = 0) -> None:
+    pos, path, n = 0, list(within), len(text)
     skip: str | None = None
     level = 0
     # without fences and verbatim blocks only '<' matters
@@ -184,7 +184,7 @@ def _tags(flow: _Flow, text: str, depth: int = 0) -> None:
                 pos = start
             continue
         if closing:
-            if tag in path:
+            if tag in path[len(within) :]:
                 while path.pop() != tag:
                     pass
             if tag in _BLOCK:
@@ -219,7 +219,7 @@ def _tags(flow: _Flow, text: str, depth: int = 0) -> None:
                 close = re.compile(r"</ref\s*>", re.I).search(text, end)
                 pos = close.end() if close and not attrs.endswith("/") else end
             continue
-        if len(path) and path[-1] == "body" or not path:
+        if not depth and (not path or path[-1] == "body"):
             region += 1
         if tag not in _VOID:
             if tag == "li" and "li" in path and path[-1] == "li" or tag == "p" and path and path[-1] == "p":

@@ -443,16 +443,13 @@ def word_cases(words: DataFrame, group: str, text: str) -> DataFrame:
     words = words.drop("found", "is_case", *[f"_{x}" for x in ("latin", "cyrillic", "greek", "east", "other")])
     seen = look_alikes(words, text)
     sums = seen.groupBy(group).agg(*[F.sum(f"found.{x}").alias(f"_{x}") for x in ("latin", "cyrillic", "greek", "east", "other")])
-    sure = seen.where("found.case").withColumn("is_case", F.lit(True))
-    open_ = seen.where("not found.case and (found.whole > 0 or found.wide)").join(sums, group)
+    # the certain and the undecided ones only; the rest has gone into the sums
+    some = seen.where("found.case or found.whole > 0 or found.wide").join(sums, group, "left")
     every = F.col("_latin") + F.col("_cyrillic") + F.col("_greek")
-    rules = (
-        (F.col("found.whole") == 1) & (F.col("_latin") * 10 >= every * 8)
-        | (F.col("found.whole") == 2) & (F.col("_latin") * 10 >= every * 8)
-        | (F.col("found.whole") == 3) & ((F.col("_cyrillic") * 10 >= every * 8) | (F.col("_greek") * 10 >= every * 8))
-        | F.col("found.wide") & (F.col("_east") == 0)
-    )
-    return sure.unionByName(open_.where(rules).select(*words.columns, "found").withColumn("is_case", F.lit(True)))
+    foreign = F.col("found.whole").isin(1, 2) & (F.col("_latin") * 10 >= every * 8)
+    latin = (F.col("found.whole") == 3) & (F.greatest("_cyrillic", "_greek") * 10 >= every * 8)
+    is_case = F.col("found.case") | F.coalesce(foreign | latin | F.col("found.wide") & (F.col("_east") == 0), F.lit(False))
+    return some.where(is_case).select(*words.columns, "found").withColumn("is_case", F.lit(True))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
