@@ -76,3 +76,56 @@ def aligned(a: Column, b: Column) -> Column:
             yield pd.Series([None if x is None or y is None else [dict(zip(("a", "n_a", "b", "n_b"), s)) for s in align(list(x), list(y))] for x, y in zip(left, right)], dtype=object)
 
     return F.pandas_udf(run, "array<struct<a:int,n_a:int,b:int,n_b:int>>")(a, b)
+
+
+def interleavings(columns: Sequence[Sequence[str]], target: Sequence[str], most: int = 2) -> int:
+    """In how many ways the columns, each in its order, make up the target; counting stops at most."""
+    from functools import lru_cache
+
+    if sum(map(len, columns)) != len(target):
+        return 0
+
+    @lru_cache(maxsize=None)
+    def ways(at: tuple[int, ...]) -> int:
+        place = sum(at)
+        if place == len(target):
+            return 1
+        n = 0
+        for c, i in enumerate(at):
+            if i < len(columns[c]) and columns[c][i] == target[place]:
+                n += ways((*at[:c], i + 1, *at[c + 1 :]))
+                if n >= most:
+                    return most
+        return n
+
+    return ways(tuple(0 for _ in columns))
+
+
+def restoration(source: Sequence[str], target: Sequence[str], context: int = 6, window: int = 32) -> list[tuple[int, str, str]]:
+    """Edits (place in target, old, new) that give target source's punctuation: '' inserts or deletes. Words that differ end a stretch;
+    it goes on where the next context words stand once within window tokens on both sides."""
+    word = lambda t: any(map(str.isalnum, t))
+    out: list[tuple[int, str, str]] = []
+    i = j = 0
+    while i < len(source) and j < len(target):
+        a, b = source[i], target[j]
+        if a == b:
+            i, j = i + 1, j + 1
+        elif not word(a) and not word(b):
+            out.append((j, b, a))
+            i, j = i + 1, j + 1
+        elif not word(a):
+            out.append((j, "", a))
+            i += 1
+        elif not word(b):
+            out.append((j, b, ""))
+            j += 1
+        else:
+            grams = lambda s, k: [tuple(x for x in s[p : p + 2 * context] if word(x))[:context] for p in range(k, min(len(s), k + window))]
+            left, right = grams(source, i), grams(target, j)
+            both = [(p + q, p, q) for p, g in enumerate(left) if len(g) == context and left.count(g) == 1 and right.count(g) == 1 and word(source[i + p]) for q in [right.index(g)] if word(target[j + q])]
+            if not both:
+                break
+            _, p, q = min(both)
+            i, j = i + p, j + q
+    return out
