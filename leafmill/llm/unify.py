@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -396,6 +397,19 @@ def unify(codes: np.ndarray, starts: np.ndarray, real: np.ndarray) -> tuple[np.n
     return result, np.append(0, np.cumsum(np.bincount(new_row, minlength=rows)))
 
 
+#: Bytes of text the arrays of one step are made for; a longer text is a step of its own.
+STEP = 2 << 20
+
+
+def _steps(texts: pa.Array) -> list[pa.Array]:
+    """Slices of whole rows of about STEP bytes, so memory doesn't grow with the batch."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // STEP)) + 1).tolist(), len(texts)] if len(texts) else [0, 0]
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a or len(texts) == 0]
+
+
 _FOUND = "struct<case:boolean,whole:tinyint,wide:boolean,latin:int,cyrillic:int,greek:int,east:int,other:int>"
 
 
@@ -412,26 +426,30 @@ def look_alikes(df: DataFrame, text: str, out: str = "found", page: bool = False
 
     page: text is an HTML page; tags are left out and references decoded. Null and empty texts are no cases."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def step(texts: pa.Array) -> pa.Array:
         codes, starts = code_points(texts)
         if page:
             codes, starts = decode_page(codes, starts)
         return _found_array(examine(codes, starts)[0])
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays(list(map(step, _steps(texts))))
+
     return df.withColumn(out, F.arrow_udf(run, _FOUND)(F.col(text)))
 
 
 def unified(df: DataFrame, text: str, out: str = "unified", page: bool = False) -> DataFrame:
     """Adds the text in its one form. Null stays null. Full-width signs stay in rows with ideographs or kana."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def step(texts: pa.Array) -> pa.Array:
         codes, starts = code_points(texts)
         if page:
             codes, starts = decode_page(codes, starts)
         made = to_arrow(*unify(codes, starts, examine(codes, starts)[1]))
-        return pa.compute.if_else(pa.compute.is_valid(texts), made, pa.scalar(None, pa.string()))
+        return pc.if_else(pc.is_valid(texts), made, pa.scalar(None, pa.string()))
 
-    import pyarrow.compute  # noqa: F401
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays(list(map(step, _steps(texts))))
 
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(text)))
 

@@ -224,6 +224,13 @@ def test_code_points_round_trip():
     assert unify.to_arrow(*unify.code_points(part)).to_pylist() == rows[2:4]
 
 
+def test_steps_are_whole_rows():
+    rows = pa.array(["x" * 900_000, None, "y" * 5_000_000, "", "é"] * 3)
+    parts = unify._steps(rows)
+    assert len(parts) > 3 and pa.concat_arrays(parts).equals(rows)
+    assert [len(p) for p in unify._steps(rows.slice(0, 0))] == [0]
+
+
 def test_decode_page_as_html_does():
     rng = random.Random(5)
     bits = ["a", "é", "&amp;", "&#233;", "&#xE9;", "&eacute;", "<b>", "</p>", " ", "&x", ";", "&#;", "漢", "< 3", "&nbsp;", "&alpha;"]
