@@ -209,3 +209,38 @@ def pair_reports(spark, sf_dir):
 def size_classes(spark, sf_dir):
     rows = units.job_units(spark, sf_dir, "source").groupBy("job_kind", "job_id").agg(F.max(F.length("source")).alias("longest"), F.count("*").alias("units"))
     return rows.groupBy("job_kind", F.when(F.col("longest") > batching.MAX_CHARS // 8, "over").otherwise("within").alias("size")).agg(F.count("*").alias("jobs"), F.sum("units").alias("units"))
+
+
+_HEADING_KEY = "regexp_replace(regexp_replace(" + _FOLD.format("{}") + ", '^[ .:;—–-]+|[ .:;—–-]+$', '', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"""WITH {_UNITS}, h AS (SELECT *, sum(CASE WHEN regexp_full_match(kind, 'h[1-6]') THEN 1 ELSE 0 END) OVER (PARTITION BY job_kind, job_id ORDER BY unit_no) AS g FROM u), t AS (SELECT job_kind, job_id, g, {_HEADING_KEY.format('plain_text')} AS k FROM h WHERE regexp_full_match(kind, 'h[1-6]'))
+  SELECT h.job_kind, h.job_id, count(*) AS units, count(*) FILTER (t.k IN ('contents', 'table of contents', 'cuprins', 'bibliography', 'references', 'bibliografie')) AS skipped FROM h LEFT JOIN t ON h.job_kind = t.job_kind AND h.job_id = t.job_id AND h.g = t.g GROUP BY ALL""")
+def skipped_units(spark, sf_dir):
+    """Units under a heading of contents or references, up to the next heading."""
+    is_heading = F.col("kind").rlike("^h[1-6]$")
+    rows = windows.running_sum(units.job_units(spark, sf_dir, "kind", "plain_text"), ["job_kind", "job_id"], "unit_no", F.when(is_heading, 1).otherwise(0), "g")
+    heads = rows.where(is_heading).select("job_kind", "job_id", "g", T.heading_key("plain_text").alias("k"))
+    both = rows.select("job_kind", "job_id", "g").join(heads, ["job_kind", "job_id", "g"], "left")
+    skip = F.col("k").isin("contents", "table of contents", "cuprins", "bibliography", "references", "bibliografie")
+    return both.groupBy("job_kind", "job_id").agg(F.count("*").alias("units"), F.count_if(skip).alias("skipped"))
+
+
+@query(f"""WITH {_PAGE_LINES}, o AS (SELECT evidence_id, round(bottom, 1) AS bottom, row_number() OVER (PARTITION BY evidence_id ORDER BY round(bottom, 1)) - 1 AS i, count(*) OVER (PARTITION BY evidence_id) AS n FROM (SELECT evidence_id, page_number, max(bottom) AS bottom FROM l GROUP BY ALL))
+  SELECT evidence_id, max(n) AS pages, max(bottom) FILTER (i = floor((n - 1) * 0.95)) AS bottom_p95, max(bottom) FILTER (i = n // 2) AS bottom_median FROM o GROUP BY evidence_id""")
+def page_bottoms(spark, sf_dir):
+    """Where pages of a file end: the middle one and the 95th of a hundred."""
+    words = geometry.page_words(spark, sf_dir, *geometry.LINE, "bottom")
+    ends = words.groupBy("evidence_id", "page_number").agg(F.round(F.max("bottom"), 1).alias("bottom"))
+    ranked = geometry.ranked_values(ends, ["evidence_id"], "bottom")
+    at = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("upto")), F.col("bottom")))
+    n = F.col("total")
+    return ranked.groupBy("evidence_id").agg(F.max(n).alias("pages"), at(F.floor((n - 1) * 0.95)).alias("bottom_p95"), at(F.floor(n / 2)).alias("bottom_median"))
+
+
+@query(f"""WITH {_PAGE_LINES} SELECT evidence_id, page_number, count(*) AS lines, max(size_pt) AS largest FROM l GROUP BY ALL HAVING count(*) BETWEEN 3 AND 14 AND max(size_pt) >= 18""")
+def display_pages(spark, sf_dir):
+    """Pages like a title's: few lines, one of them large."""
+    words = geometry.page_words(spark, sf_dir, *geometry.LINE, "size_pt")
+    pages_ = words.groupBy("evidence_id", "page_number").agg(F.count_distinct("line_no").alias("lines"), F.max("size_pt").alias("largest"))
+    return pages_.where(F.col("lines").between(3, 14) & (F.col("largest") >= 18))
