@@ -7,6 +7,7 @@ discounts of all lower orders already interpolated. An n-gram in no array is bac
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -40,6 +41,19 @@ def _hash(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+class _Memory:
+    """Scores of the words seen by this process."""
+
+    def __init__(self, langs: int) -> None:
+        self.ids: dict[str, int] = {}
+        self.scores = np.zeros((1024, langs), dtype=np.float32)
+        self.sizes = np.zeros(1024, dtype=np.int32)
+
+
+#: Memories of the last models a worker process had, so that its next task starts with the words of the one before.
+_LIVE: dict[str, _Memory] = {}
+
+
 class CharModels:
     def __init__(self, langs: list[str]) -> None:
         self.langs = langs
@@ -52,12 +66,19 @@ class CharModels:
         self.limits = np.full(len(langs), np.inf, dtype=np.float32)
         self.seen: frozenset[str] = frozenset()
         self.alphabets: dict[str, frozenset[str]] = {}
-        self._ids: dict[str, int] = {}
-        self._scores = np.zeros((1024, len(langs)), dtype=np.float32)
-        self._sizes = np.zeros(1024, dtype=np.int32)
+        self.key = ""
+        self._memory = _Memory(len(langs))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ids": {}, "_scores": np.zeros((1024, len(self.langs)), dtype=np.float32), "_sizes": np.zeros(1024, dtype=np.int32)}
+        return {k: v for k, v in self.__dict__.items() if k != "_memory"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if not self.key or self.key not in _LIVE:
+            while len(_LIVE) >= 4:
+                _LIVE.pop(next(iter(_LIVE)))
+            _LIVE[self.key] = _Memory(len(self.langs))
+        self._memory = _LIVE[self.key] if self.key else _Memory(len(self.langs))
 
     @staticmethod
     def fit(samples: Iterable[tuple[str, str]]) -> "CharModels":
@@ -78,6 +99,11 @@ class CharModels:
                         s, n = part.score([own])
                         models.limits[k] = max(models.limits[k], -s[0, k] / max(1, n[0]))
         models.limits += 1.0
+        digest = hashlib.sha256("\0".join(models.langs).encode())
+        for arrays in (models.grams, models.logs):
+            for x in arrays:
+                digest.update(x.tobytes())
+        models.key = digest.hexdigest()
         return models
 
     @staticmethod
@@ -189,22 +215,23 @@ class CharModels:
     def ids(self, tokens: Iterable[str]) -> np.ndarray:
         """Places of the tokens' scores; new tokens are scored in one go."""
         tokens = list(tokens)
-        known = self._ids
+        memory = self._memory
+        known = memory.ids
         if len(known) > KEPT:
             known.clear()
         fresh = [t for t in dict.fromkeys(tokens) if t not in known]
         if fresh:
             need = len(known) + len(fresh)
-            if need > len(self._sizes):
-                size = max(need, 2 * len(self._sizes))
-                self._scores = np.resize(self._scores, (size, len(self.langs)))
-                self._sizes = np.resize(self._sizes, size)
+            if need > len(memory.sizes):
+                size = max(need, 2 * len(memory.sizes))
+                memory.scores = np.resize(memory.scores, (size, len(self.langs)))
+                memory.sizes = np.resize(memory.sizes, size)
             for a in range(0, len(fresh), 20_000):
                 part = fresh[a : a + 20_000]
                 s, n = self._raw(part)
                 base = len(known)
-                self._scores[base : base + len(part)] = s
-                self._sizes[base : base + len(part)] = n
+                memory.scores[base : base + len(part)] = s
+                memory.sizes[base : base + len(part)] = n
                 known.update(zip(part, range(base, base + len(part))))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
@@ -216,8 +243,8 @@ class CharModels:
         if len(full) and self.langs:
             at = self.ids([w for s in segments for w in s])
             starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-            out[full] = np.add.reduceat(self._scores[at], starts, axis=0)
-            length[full] = np.add.reduceat(self._sizes[at], starts)
+            out[full] = np.add.reduceat(self._memory.scores[at], starts, axis=0)
+            length[full] = np.add.reduceat(self._memory.sizes[at], starts)
         return out, length
 
 
