@@ -27,8 +27,10 @@ def token_coverage(pairs: DataFrame, a: str, b: str, ids: list[str]) -> DataFram
 
     def counted(column: str, name: str) -> DataFrame:
         own = T.words(T.casefold(column))
-        grams = F.when(F.size(own) > 1, F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.concat_ws(" ", F.element_at(own, i), F.element_at(own, i + 1)))).otherwise(F.array().cast("array<string>"))
-        both = F.concat(F.transform(own, lambda x: F.struct(F.lit("token").alias("level"), x.alias("x"))), F.transform(grams, lambda x: F.struct(F.lit("pair").alias("level"), x.alias("x"))))
+        none = F.array().cast("array<string>")
+        grams = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(none)
+        levels = lambda w: F.concat(F.transform(w, lambda x: F.struct(F.lit("token").alias("level"), x.alias("x"))), F.transform(grams(w), lambda x: F.struct(F.lit("pair").alias("level"), x.alias("x"))))
+        both = F.element_at(F.transform(F.array(own), levels), 1)  # the words are bound once
         return pairs.select(*ids, F.explode(both).alias("t")).groupBy(*ids, F.col("t.level").alias("level"), F.col("t.x").alias("x")).agg(F.count("*").alias(name))
 
     both = counted(a, "n_a").join(counted(b, "n_b"), [*ids, "level", "x"], "left")
