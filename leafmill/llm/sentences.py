@@ -2,12 +2,15 @@
 
 Characters are tagged boundary or inside by a linear-chain model decoded with Viterbi. Only characters where a sentence can end
 (a closing mark with its quotes and brackets; white space in Thai, which writes no marks) have a choice, so the chain is run over
-those; all others are inside with certainty. Weights are those of an averaged perceptron, trained on the clean language samples
-at labels from the writing conventions below; the samples of unpunctuated scripts are used with their marks stripped.
+those; all others are inside with certainty. Emission and transition weights are those of an averaged structured perceptron, trained
+on the clean language samples. A sample's end is a boundary; inside the samples the writing conventions below give the labels. What
+the convention says is one feature among the others and can be outvoted. The samples of unpunctuated scripts are used with their
+marks stripped, the boundaries they showed kept as labels.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -23,6 +26,12 @@ from .markup import unescape
 #: At most so many sample rows are read to train on.
 TRAIN_ROWS = 5000
 
+#: By how much the tags of the samples are to outweigh each wrong one. Far above a step of the training, it leaves weight only to what
+#: tells boundaries from other marks, not to what they share.
+MARGIN = 20.0
+#: Turns over the samples.
+ROUNDS = 30
+
 #: Abbreviations that a name, number or word follows; they end no sentence. Lower case, without the last period.
 LEADING = frozenset(
     "dr mr mrs ms mx prof st hr hrn fr frl herr mme mlle mm m me sr sra srta d dña dl dna dr sig sig.ra dott ing rev gen col capt lt sgt hon jr sen rep pres no nos nr n num núm núms fig figs abb tab vol vols v bd p pp pg pág págs pag pagg s ss seite cf cfr vgl conf ref"
@@ -165,7 +174,9 @@ def rough_sentences(text: str) -> list[str]:
 
 
 class Tagger:
-    def __init__(self, weights: dict[str, float], turn: tuple[float, float], starts: frozenset[str]) -> None:
+    """weights: of the features for a boundary, against one without. turn: of a tag after the one before, turn[before][tag]."""
+
+    def __init__(self, weights: dict[str, float], turn: Sequence[Sequence[float]], starts: frozenset[str]) -> None:
         self.weights, self.turn, self.starts = weights, turn, starts
 
     def candidates(self, text: str) -> list[tuple[int, int, bool]]:
@@ -175,10 +186,14 @@ class Tagger:
             out.sort()
         return out
 
-    def ends(self, text: str) -> list[int]:
-        """Where sentences end; the last is the end of the text. Two hypotheses, one for each tag of the last candidate."""
+    def features(self, text: str, start: int, end: int, thai: bool, since: int) -> tuple[list[str], bool]:
+        return _thai_features(text, start, end, since, self.starts) if thai else _features(text, start, end, since)
+
+    def ends(self, text: str, gold: frozenset[int] | None = None) -> list[int]:
+        """Where sentences end; the last is the end of the text. Two hypotheses, one for each tag of the last candidate. With gold, the
+        boundaries of a sample, each other tag is favoured by MARGIN."""
         text_end = len(text.rstrip())
-        weights, (same, switch) = self.weights, self.turn
+        weights, turn = self.weights, self.turn
         # state: tag -> (score, start of the open sentence, ends)
         best = {0: (0.0, 0, ())}
         for start, end, thai in self.candidates(text):
@@ -188,10 +203,11 @@ class Tagger:
             seen: dict[int, float] = {}
             for tag, (score, since, path) in best.items():
                 if (s := seen.get(since)) is None:
-                    f, _ = _thai_features(text, start, end, since, self.starts) if thai else _features(text, start, end, since)
-                    s = seen[since] = sum(weights.get(x, 0.0) for x in f)
+                    s = seen[since] = sum(weights.get(x, 0.0) for x in self.features(text, start, end, thai, since)[0])
+                if gold is not None:
+                    s += -MARGIN if end in gold else MARGIN
                 for to, gain in ((1, s), (0, -s)):
-                    value = score + gain + (same if to == tag else switch)
+                    value = score + gain + turn[tag][to]
                     if to not in new or value > new[to][0]:
                         new[to] = (value, end if to else since, (path, end) if to else path)
             best = new
@@ -211,11 +227,37 @@ class Tagger:
         return out
 
 
-def train(samples: Sequence[str], rounds: int = 4) -> Tagger:
-    """Averaged perceptron over the candidates of the samples, joined in pairs so that their ends are seen too."""
-    samples = sorted(s for s in samples if s)
+#: Marks of an unpunctuated script's samples, without the period inside a number.
+_BARE = re.compile(r"[!?…؟।॥。！？｡,،，、;:：；\"'“”‘’«»‹›「」『』()\[\]]|(?<!\d)\.|\.(?!\d)")
+
+
+def stripped(text: str) -> tuple[str, set[int]]:
+    """A sample of an unpunctuated script without its marks, and where the gaps begin that the stripped marks show to be boundaries.
+    Other samples stay as they are."""
+    if not _THAI.search(text):
+        return text, set()
+    known, since = set(), 0
+    for m in _END.finditer(text):
+        if m.end() < len(text) and _convention(text, m.start(), m.end(), since)[0]:
+            known.add(m.end())
+            since = m.end()
+    out, shown = "", set()
+    for at, c in enumerate(text):
+        if at in known:
+            out = out.rstrip()
+            shown.add(len(out))
+            out += "" if c.isspace() else " "
+        if not _BARE.match(text, at):
+            out += c
+    return out.rstrip(), shown
+
+
+def train(samples: Sequence[str], rounds: int = ROUNDS) -> Tagger:
+    """Averaged structured perceptron over the tags of the samples' candidates, with the tags' transitions. Samples are joined in pairs;
+    where one ends a sentence ends, as it does at the marks stripped from it, and elsewhere the convention gives the label."""
+    bare = {s: stripped(s) for s in sorted(set(filter(None, samples)))}
     starts: set[str] = set()
-    for text in samples:
+    for text, _ in bare.values():
         if _THAI.search(text):
             for at in [0, *(m.end() for m in _THAI_GAP.finditer(text))]:
                 before = text[:at].rstrip()[-1:]
@@ -224,28 +266,49 @@ def train(samples: Sequence[str], rounds: int = 4) -> Tagger:
     kept = frozenset(s for s in starts if not _THAI_AFTER.match(s) or len(s) >= 6)
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
-    turn = (0.0, 0.0)
+    turn, turns = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
     tagger = Tagger(weights, turn, kept)
+    texts = []
+    each = list(bare.values())
+    for (a, shown), (b, more) in zip(each, each[1:] + each[:1]):
+        text = f"{a} {b}"
+        known = {len(a)} | shown | {len(a) + 1 + x for x in more}
+        gold, since, text_end = [], 0, len(text.rstrip())
+        for start, end, thai in tagger.candidates(text):
+            if end >= text_end:
+                break
+            f, label = tagger.features(text, start, end, thai, since)
+            label = label or (start if thai else end) in known
+            gold.append((start, end, thai, f, label))
+            since = end if label else since
+        texts.append((text, gold))
+    order = random.Random(4)
     step = 1
-    texts = [f"{a} {b}" for a, b in zip(samples, samples[1:] + samples[:1])]
     for _ in range(rounds):
-        for text in texts:
-            since = 0
-            for start, end, thai in tagger.candidates(text):
-                f, label = _thai_features(text, start, end, since, kept) if thai else _features(text, start, end, since)
-                if (sum(weights[x] for x in f) > 0) != label:
-                    d = 1.0 if label else -1.0
-                    for x in f:
-                        weights[x] += d
-                        total[x] += step * d
-                step += 1
-                if label:
-                    since = end
-    final = {x: w - total[x] / step for x, w in weights.items()}
-    # the convention itself decides where no sample speaks
-    for x, s in (("r=True", 1.0), ("r=False", -1.0)):
-        final[x] = s * (1.0 + max([abs(final.get(x, 0.0)), *(sum(sorted((abs(v) for k, v in final.items() if not k.startswith("r=")), reverse=True)[:5]),)]))
-    return Tagger(final, turn, kept)
+        order.shuffle(texts)
+        wrong = 0
+        for text, gold in texts:
+            right = frozenset(end for _, end, _, _, label in gold if label)
+            ends = set(tagger.ends(text, right)[:-1])
+            if ends != right:
+                wrong += 1
+                since = before = told = 0
+                for start, end, thai, f, label in gold:
+                    tag = end in ends
+                    own = tagger.features(text, start, end, thai, since)[0]
+                    for features, d in ((f, 1.0 if label else -1.0), (own, -1.0 if tag else 1.0)):
+                        for x in features:
+                            weights[x] += d
+                            total[x] += step * d
+                    for row, to, d in ((before, label, 1.0), (told, tag, -1.0)):
+                        turn[row][to] += d
+                        turns[row][to] += step * d
+                    since, before, told = end if tag else since, int(label), int(tag)
+            step += 1
+        if not wrong:
+            break
+    final = {x: w - total[x] / step for x, w in weights.items() if w or total[x]}
+    return Tagger(final, [[w - t / step for w, t in zip(*rows)] for rows in zip(turn, turns)], kept)
 
 
 def trained(spark, sf_dir: str) -> Tagger:

@@ -280,6 +280,22 @@ def test_thai(tagger):
     assert len(tagger.split(text)) == 3
 
 
+def test_learned_weights_overrule_the_convention(samples):
+    text = "She took the sec. Then they left."
+    assert sentences.train([t for _, t in samples]).split(text) == [text]  # 'sec.' is in the list of abbreviations
+    ends = [f"The {x} keeps the sec." for x in "reader clerk author printer editor writer keeper teacher".split()]
+    assert sentences.train(ends).split(text) == ["She took the sec.", "Then they left."]
+
+
+def test_transitions_are_learned(tagger):
+    assert any(x for row in tagger.turn for x in row)
+
+
+def test_marks_of_unpunctuated_samples_are_stripped():
+    assert sentences.stripped("นักแปลมาแล้ว! ผู้อ่าน “ถาม”ว่า 11.73 ไหม") == ("นักแปลมาแล้ว ผู้อ่าน ถามว่า 11.73 ไหม", {len("นักแปลมาแล้ว")}) and sentences.stripped("Yes! No.") == ("Yes! No.", set())
+    assert sentences.stripped("นักแปล!ผู้อ่าน") == ("นักแปล ผู้อ่าน", {6})
+
+
 def test_paragraphs():
     page = "<html><body><p>One<p hidden>no</p><nav><p>no</p></nav><!-- <p>no --><p> . </p><P class=x>T<b>w</b>o &amp; <br>three<h2>H</h2><script>'<p>no'</script><template><p>no</p></template></body>"
     assert [re.sub(r"\s+", " ", t).strip() for t in sentences.paragraphs(page)] == ["One", "Two & three"]
