@@ -235,6 +235,11 @@ class CharModels:
                 known.update(zip(part, range(base, base + len(part))))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
+    def each(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word in each language, and its length in characters."""
+        at = self.ids(tokens)
+        return self._memory.scores[at], self._memory.sizes[at]
+
     def score(self, segments: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each segment (a list of words) in each language, and its length in characters."""
         sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))

@@ -385,6 +385,15 @@ def test_legacy_read_wrongly(models, lang, right, wrong):
     assert found and sum(a == b for a, b in zip(fixed, text)) > 0.9 * len(text)
 
 
+@pytest.mark.parametrize("right, wrong", [("koi8-r", "cp1251"), ("cp1251", "koi8-r")])
+def test_garbled_part_within_a_script(models, right, wrong):
+    clean = "\n\n".join([SENTENCES["ru"]] * 8)
+    part = "Ночной библиотекарь проверяет безымянный дневник."
+    fixed, found, _ = garbled.Repairer(models).repair(f"{clean}\n\n{part.encode(right).decode(wrong)}")
+    assert found and sum(a == b for a, b in zip(fixed, f"{clean}\n\n{part}")) >= len(clean) + 0.9 * len(part)
+    assert garbled.Repairer(models).repair(f"{clean}\n\n{part}") == (f"{clean}\n\n{part}", False, [])
+
+
 @pytest.mark.parametrize("text", [None, "", "ascii only", "The town of São Velário lies 72 km from Þrúðfell, pop. 818.", "On the cover one reads “तट से आए पत्रों को” in large letters.", "№ 7, 20 °C, ½, x² — “ok”"])
 def test_not_garbled(models, text):
     assert garbled.Repairer(models).repair(text) == (text, False, [])
