@@ -3,7 +3,8 @@
 One pass over tags, fences and verbatim blocks (leftmost first) turns a text into a flow of lines; formulas and inline code
 are lifted out of the flow; the lines give headings and list items. Content nodes are chosen by tag-path ratios: text length
 and punctuation are summed per root-to-leaf tag path, fused, smoothed along the page and thresholded, and a region (a child of
-the page's body) without any chosen node is dropped as boilerplate beside one that has some.
+the page's body) without any chosen node is dropped as boilerplate beside one that has some; regions with headings, items or
+formulas, and those of scripts that write no marks, stay in any case.
 """
 
 from __future__ import annotations
@@ -105,6 +106,8 @@ class _Flow:
         self.lang: str | None = None
         #: Text nodes: path, region, length, punctuation, place in out.
         self.nodes: list[tuple[str, int, int, int, int]] = []
+        #: Regions with a heading or list item.
+        self.kept: set[int] = set()
 
 
 _LANG = re.compile(r"\blang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -227,8 +230,10 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
             path.append(tag)
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             flow.out.append(f"\n\n{H}")
+            flow.kept.add(region)
         elif tag == "li":
             flow.out.append(f"\n\n{LI}")
+            flow.kept.add(region)
         elif tag == "br":
             flow.out.append(f"\n{TEXT}")
         else:
@@ -237,6 +242,20 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
         _text(flow, text[pos:], path, region, depth)
 
 
+#: Scripts that write no marks between sentences: Thai, Lao, Burmese and Khmer.
+_UNPUNCTUATED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+
+
+def _structured(text: str) -> bool:
+    """Whether a text node has a formula, or lines that are headings or items of their own."""
+    if ("$" in text or "\\" in text or "`" in text) and _LIFT.search(text):
+        return True
+    lines = [line.strip(" \t\r\xa0") for line in text.split("\n")]
+    if any(b and a and (not b.strip("=") or not b.strip("-") and len(b) > 1) for a, b in zip(lines, lines[1:])):
+        return True
+    return any(_ITEM.match(x) or _HASH.match(x) or _WIKI_HEADING.match(x) or _LATEX_LINE.match(x) for x in lines)
+
+
 def _ratios(flow: _Flow) -> set[int]:
     """Regions without any content node, where another region has some: by tag-path ratios."""
     nodes = flow.nodes
@@ -255,8 +274,11 @@ def _ratios(flow: _Flow) -> set[int]:
     smooth = [sum(w * fused[min(max(i + d, 0), k - 1)] for d, w in zip((-2, -1, 0, 1, 2), kernel)) for i in range(k)]
     mean = sum(smooth) / k
     floor = mean - math.sqrt(sum((x - mean) ** 2 for x in smooth) / k)
-    chosen = {nodes[i][1] for i in range(k) if smooth[i] >= max(floor, 1e-9) and nodes[i][3]}
-    return regions - chosen if chosen else set()
+    chosen = {nodes[i][1] for i in range(k) if smooth[i] >= max(floor, 1e-9) and sums[nodes[i][0]][1]}
+    if not chosen:
+        return set()
+    drop = regions - chosen - flow.kept
+    return drop - {r for _, r, _, _, at in nodes if r in drop and (_UNPUNCTUATED.search(flow.out[at]) or _structured(flow.out[at]))}
 
 
 def _wiki(text: str) -> bool:

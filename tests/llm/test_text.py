@@ -175,6 +175,13 @@ def test_boilerplate_by_tag_paths():
     assert [b for b in page.blocks if b == ("text", "x")] == [] and len(page.blocks) == 9
 
 
+@pytest.mark.parametrize("part", ["<h1>Title</h1>", "<ul><li>one</ul>", "<div>$x+y$</div>", "<div>- one</div>", "<div>## Title</div>", "<div>นักแปลอธิบาย</div>", "<p>The end</p>", "<div>Title\n=====</div>"])
+def test_tag_paths_keep_content(part):
+    body = "".join(f"<p>A long sentence number {i}, with commas, and words enough to be content.</p>" for i in range(9))
+    for page in (f"<body>{part}{body}</body>", f"<html><body>{body}{part}</body></html>"):
+        assert sorted(markup.parse(page).blocks) == sorted(markup.parse(part).blocks + markup.parse(body).blocks)
+
+
 def test_structure_edges(spark):
     df = spark.createDataFrame([(None, 1), ("", 2), ("# h", 3), ("# h", 3), ("<p>" * 20_000, 4), ("<" * 100_000, 5), ("`$\\(" * 20_000, 6)], "text string, n int")
     got = {r["n"]: r["structure"] for r in markup.structure(df, "text").collect()}
