@@ -406,6 +406,18 @@ def test_not_garbled(models, text):
     assert garbled.Repairer(models).repair(text) == (text, False, [])
 
 
+def test_garbled_beside_odd_characters(models):
+    odd = "😀 🎉 🚀 🌍 🔥 🐙 🍎 🎸"
+    clean = f"The reader keeps the map {odd} and the notes of Łódź, Škoda and Győr."
+    for name in ("", " The café of Győr and Dvořák's house near Kraków."):
+        assert garbled.Repairer(models).repair(clean + name) == (clean + name, False, [])
+    bad = f"{clean} She met him at the cafÃ© near the harbour."
+    assert garbled.Repairer(models).repair(bad)[:2] == (bad.replace("Ã©", "é"), True)
+    part = "Ночной библиотекарь проверяет безымянный дневник."
+    fixed, found, _ = garbled.Repairer(models).repair(f"{odd} {SENTENCES['ru']}\n{part.encode('koi8-r').decode('cp1251')}")
+    assert found and fixed.startswith(f"{odd} {SENTENCES['ru']}\n") and sum(a == b for a, b in zip(fixed.split("\n")[1], part)) > 0.9 * len(part)
+
+
 def test_lost_characters(models):
     assert garbled.Repairer(models).repair("the author�s first plan") == ("the author�s first plan", True, [])
 
