@@ -21,7 +21,7 @@ from ..sources import table
 from .charmodels import WORD, CharModels
 from .garbled import TRAIN_ROWS, Repairer, fitted
 from .markup import parse
-from .sentences import rough_sentences
+from .rough import rough_sentences
 
 #: Nats between the best and the second language from which a sentence counts as sure.
 SURE = 6.0

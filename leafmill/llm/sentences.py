@@ -1,20 +1,23 @@
 """Problem 4: sentence boundaries in all scripts.
 
-Characters are tagged boundary or inside by a linear-chain model decoded with Viterbi. Only characters where a sentence can end
-(a closing mark with its quotes and brackets; white space in Thai, which writes no marks) have a choice, so the chain is run over
-those; all others are inside with certainty. Emission and transition weights are those of an averaged structured perceptron, trained
-on the clean language samples. A sample's end is a boundary; inside the samples the writing conventions below give the labels. What
-the convention says is one feature among the others and can be outvoted. The samples of unpunctuated scripts are used with their
-marks stripped, the boundaries they showed kept as labels.
+Characters are tagged boundary or inside by a linear-chain model decoded with Viterbi. Only characters where a sentence can end have
+a choice (a closing mark with its quotes and brackets; a gap in Thai; any character of Chinese or Japanese in a block without closing
+marks), so the chain runs over those; all others are inside with certainty. Emissions are learned weights of the characters, the
+words and their shapes on both sides; transitions are learned weights of a tag after the one before, by the distance between them.
+Nothing else decides: there is no list of abbreviations and no rule at decoding time.
+
+Training is an averaged structured perceptron on partly labelled text: the ends of samples are boundaries, and where the orthography
+shows it (a small letter, a digit or a comma follows; a known beginning of a sample follows) the tag is known; the other places are
+latent and take the tags the model itself finds best among those that agree with the known ones. Samples of Thai, Chinese and
+Japanese are used once more with their marks stripped, the boundaries the marks showed kept as labels.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,201 +26,217 @@ from pyspark.sql import functions as F
 from ..sources import table
 from .markup import unescape
 
-#: At most so many sample rows are read to train on.
-TRAIN_ROWS = 5000
+#: At most so many sample rows, pages (about, chosen by a hash of their ids) and paragraphs of these are read to train on.
+TRAIN_ROWS, TRAIN_PAGES, TRAIN_PARAGRAPHS = 5000, 400, 1500
 
-#: By how much the tags of the samples are to outweigh each wrong one. Far above a step of the training, it leaves weight only to what
-#: tells boundaries from other marks, not to what they share.
-MARGIN = 20.0
+#: By how much a known tag is to outweigh the wrong one.
+MARGIN = 8.0
 #: Turns over the samples.
-ROUNDS = 30
-
-#: Abbreviations that a name, number or word follows; they end no sentence. Lower case, without the last period.
-LEADING = frozenset(
-    "dr mr mrs ms mx prof st hr hrn fr frl herr mme mlle mm m me sr sra srta d dña dl dna dr sig sig.ra dott ing rev gen col capt lt sgt hon jr sen rep pres no nos nr n num núm núms fig figs abb tab vol vols v bd p pp pg pág págs pag pagg s ss seite cf cfr vgl conf ref"
-    " ch cap kap sec sect art alin lit str strada al bd bl sc et ap c ca cca circa env approx ex ed eds trad bros bzw z d.h i.e e.g p.ex p.e z.b u.a d h t"
-    " т с стр рис табл гл ср см напр проф акад им ул д кв п пп тов г-н г-жа т.е"
-    " κ κα κος σ σελ σσ εικ αρ αριθ πρβλ βλ τ τόμ π.χ π δρ καθ"
-    " डॉ श्री क्र सं पृ प्रो ص ج د ل م رقم أ".split()
-)
-#: Abbreviations that can stand last in a sentence: they end one before an upper-case letter.
-CLOSING = frozenset("etc usw ecc etc.a p.m a.m ltd inc co corp plc gmbh ag jr sr κ.λπ κ.ά κλπ χλμ км км.ч т.д т.п др г гг км км2 м см руб إلخ الخ كم कि.मी km cm kg uhr mio mld u.s u.k".split())
-
-#: Last four letters of the longer abbreviations.
-_TAILS = frozenset(w[-4:] for w in LEADING | CLOSING if len(w) >= 4)
-
-_END = re.compile(r"(?:[!?…؟।॥。！？｡]|\.(?![^\s.!?…\"'”’»“)\]」』›,،;:]))+(?:[.!?…؟]*)(?:[\"'”’“)\]」』›]|\s?»)*|(?<=[Ͱ-Ͽἀ-῿])[;;](?:[\"'”’)\]]|\s?»)*(?=\s|$|[,—–-])")
-_WORD = re.compile(r"[^\s\"'“”„«»‹›()\[\]¿¡—–/]+$")
+ROUNDS = 12
+
+_END = re.compile(r"(?:[!?…؟।॥。！？｡]|\.(?![^\s.!?…\"'”’»“)\]」』›,،;:]))+(?:[.!?…؟]*)(?:[\"'”’“)\]」』›]|\s?»)*|(?<=[Ͱ-Ͽἀ-῿])[;;](?:[\"'”’)\]]|\s?»)*(?=\s|$|[,—–-])")
+_SHOWN = re.compile(r"\S")
+#: What no word before a mark goes over, besides white space.
+_STOP = frozenset("\"'“”„«»‹›()[]¿¡—–/")
+_TOKEN = re.compile(r"[^\s\"'“”„«»‹›()\[\]¿¡—–/,;:!?…]+")
 _NEXT = re.compile(r"\s*([\"'“„«‹(\[¿¡「『—–-]*)\s*(.?)", re.S)
-_OPEN, _CLOSE = "“„«‹「『\"", "”“»›」』\""
+_OPEN = "“„«‹「『\""
 _THAI = re.compile(r"[฀-๿]")
-_THAI_GAP = re.compile(r"\s+")
-#: What may follow a number inside a Thai sentence: units, and 'of', 'in', 'that' with what the number counts.
-_THAI_AFTER = re.compile(r"(?:กิโล|เมตร|เซน|มิลลิ|ชั่วโมง|นาที|วัน|เดือน|ปี|คน|เล่ม|หน้า|บท|บาท|ของ|ในทะเบียน|ในเล่ม|ในหน้า|ในปี|ที่|และ|หรือ|ถึง|ตาม|เพราะ|แม้|เพื่อ|โดย|ด้วย|ขณะ|ซึ่ง|จน|ก่อน|หลัง|ตั้งแต่|สำหรับ|ใกล้|ห่าง|อีก|ประมาณ)")
-_STRONG = frozenset("!?؟！？;;")
+_GAP = re.compile(r"\s+")
+#: Scripts without spaces; the next two write closing marks, which a block may lack.
+_EAST = re.compile(r"[぀-ヿ一-鿿]")
+_UNSPACED = re.compile(r"[฀-๿぀-ヿ一-鿿]")
+_STRONG = frozenset("!?؟！？;;")
 _FULL = frozenset("।॥。｡")
+#: A word is a usual beginning if at least one in so many of its occurrences begins a sample.
+OFTEN = 8
+#: Transitions have weights of their own up to each of these distances: letters between two candidates, the gap left out.
+_STEPS = (1,)
 
 
 def _case(c: str) -> str:
     return "end" if not c else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "plain" if c.isalpha() else "other"
 
 
-def _convention(text: str, start: int, end: int, since: int) -> tuple:
-    """What the writing conventions say of the candidate text[start:end], a mark with its closers, in a sentence begun at since;
-    and what they look at."""
+def _shape(word: str) -> str:
+    """Kinds of the word's characters, runs of one kind once, and its length up to four."""
+    kinds = "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else "." if c == "." else "x" for c in word)
+    return re.sub(r"(.)\1+", r"\1", kinds)[:6] + str(min(len(word), 5))
+
+
+def _step(distance: int) -> int:
+    return sum(distance > s for s in _STEPS)
+
+
+def _word_before(text: str, since: int, at: int) -> str:
+    i = at
+    while i > since and text[i - 1] not in _STOP and not text[i - 1].isspace():
+        i -= 1
+    return text[i:at]
+
+
+def _distance(text: str, last: int, start: int) -> int:
+    return start - last - text[last : last + 1].isspace()
+
+
+def start_key(text: str, at: int) -> str:
+    """What tells the beginning of a sentence at a place: its first word, or the first two characters where no spaces are written."""
+    m = _NEXT.match(text, at)
+    at = m.end() - len(m[2])
+    if _UNSPACED.match(text, at):
+        return text[at : at + (4 if _THAI.match(text, at) else 2)]
+    w = _TOKEN.match(text, at)
+    return w[0] if w else ""
+
+
+class Lexicon:
+    """What the training text shows of words: beginnings of its samples, and how often a word stands before a period or without one,
+    and in small letters. Bounded as the training text is."""
+
+    def __init__(self) -> None:
+        self.starts: Counter = Counter()
+        self.dotted: Counter = Counter()
+        self.bare: Counter = Counter()
+
+    def add(self, text: str, sign: int = 1) -> None:
+        if key := start_key(text, 0):
+            self.starts[key] += sign
+        for m in _TOKEN.finditer(text):
+            w = m[0]
+            dots = w.endswith(".") and m.end() < len(text.rstrip())
+            (self.dotted if dots else self.bare)[w.rstrip(".").lower() if dots else w.rstrip(".")] += sign
+
+    def bare_of(self, word: str) -> str:
+        """Whether a word before a period is also written without one: 'yes', 'no', or 'new' where it is in no training text."""
+        n = self.bare[word] + (self.bare[word.lower()] if word.lower() != word else 0)
+        return "yes" if n > 0 else "no" if self.dotted[word.lower()] > 0 else "new"
+
+    def next_of(self, key: str) -> str:
+        """Whether a word begins samples often for how often it occurs ('start'), or is also written small, or begins few or none."""
+        if not key:
+            return "none"
+        begins, low = self.starts[key], key.lower()
+        if begins > 0 and begins * OFTEN >= self.bare[key] + self.dotted[low]:
+            return "start"
+        return "small" if low != key and self.bare[low] > 0 else "rare" if begins > 0 else "other"
+
+
+def _features(text: str, start: int, end: int, since: int, known: Lexicon) -> list[str]:
+    """Emission features of a candidate text[start:end], a mark with its closers, in a sentence begun at since."""
     mark = text[start:end]
-    last = mark.rstrip("\"'”’“)]」』›»   \n")
+    last = mark.rstrip("\"'”’“)]」』›»   \n")
     closers = mark[len(last) :]
     n = _NEXT.match(text, end)
     opener, c = n[1], n[2]
     case = _case(c)
-    gap = n.end() - len(c) - len(opener) > end
-    w = _WORD.search(text, max(since, start - 24), start)
-    word = w[0] if w else ""
-    low = word.lower().lstrip("(")
-    head = text[since:start].lstrip()
-    quoted = bool(closers.strip("   \n)]")) and head[:1] in _OPEN and head[:1] != ""
-    strong = any(x in _STRONG for x in last)
-    full = any(x in _FULL for x in last)
-    if case == "end" and not opener.strip("—–-"):
-        label = True
-    elif case == "lower" or (opener[:1] in "—–-" and opener and case != "upper"):
-        label = False
-    elif text[end : end + 1] in (",", "،", "，", "、", ";", ":"):
-        label = False
-    elif quoted and (strong or full) and case == "plain" and not opener:
-        label = full and not strong and c != "と"
-    elif quoted and strong and opener[:1] in ("—", "–", "-"):
-        label = False
-    elif closers.startswith(("」", "』")) and c == "と":
-        label = False
-    elif strong or full:
-        label = True
-    elif "…" in last or last.endswith(".."):
-        label = case in ("upper", "plain") and gap
-    elif closers:
-        label = True
-    elif low in CLOSING or (low in ("д", "п", "др") and re.search(r"т\.\s*$", text[max(0, start - 5) : start - 1])):
-        digit_before = bool(re.search(r"\d\s*$", text[max(0, start - len(word) - 4) : max(0, start - len(word))]))
-        label = case in ("upper", "digit") and low not in ("sr", "jr") if low != "г" else digit_before and case == "upper"
-        if case == "plain":
-            label = bool(re.match(r"[؀-ۿ]", low)) and low not in ("كم",)
-    elif low in LEADING:
-        label = False
-    elif len(low) == 1 and word.isalpha():
-        label = False
-    elif re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]{1,3}", word):
-        label = False
-    elif re.fullmatch(r"\d{1,2}", word) and case == "upper" and re.search(r"(?:\b(?:am|im|der|die|das|dem|den|des|vom|zum|bis)\s+)\d{1,2}$", text[max(0, start - 12) : start]):
-        label = False
-    else:
-        label = case != "other" or opener != ""
-    return label, last, closers, opener, c, case, word, low, quoted, strong, full
-
-
-def _features(text: str, start: int, end: int, since: int) -> tuple[list[str], bool]:
-    label, last, closers, opener, c, case, word, low, quoted, strong, full = _convention(text, start, end, since)
-    shape = "d" if word.isdigit() else "1" if len(word) == 1 else "." if "." in word else "w"
-    kind = "abbr" if low in LEADING else "last" if low in CLOSING else "word"
-    return [f"m={last[:2]}|{case}", f"k={kind}|{shape}|{case}", f"q={quoted}|{strong}|{full}|{case}|{c == 'と'}", f"w={low[:12]}|{case}", f"c={bool(closers)}|{case}|{opener[:1]}", f"r={label}"], label
-
-
-def _thai_features(text: str, start: int, end: int, since: int, starts: frozenset[str]) -> tuple[list[str], bool]:
-    before, after = text[start - 1 : start], text[end : end + 1]
-    if not after or not before:
-        return ["th=edge"], not after
-    digit_before, digit_after = before.isdigit(), after.isdigit()
-    known = next((k for k in (8, 6, 5, 4) if text[end : end + k] in starts), 0)
-    goes_on = bool(_THAI_AFTER.match(text, end)) and not known
-    if digit_after or not (_THAI.match(after) or after in "“\"'"):
-        label = False
-    elif digit_before:
-        label = not goes_on
-    else:
-        label = True
-    return [f"th={digit_before}|{digit_after}|{goes_on}", f"th={known}|{digit_before}", f"r={label}"], label
-
-
-def _plain_word(end: str) -> bool:
-    """Whether the four characters before a period end a word or year that is no abbreviation."""
-    if end.isalpha():
-        return end.lower() not in _TAILS
-    if end.isdigit():
-        return len(end) == 4
-    end = end[end.rfind(" ") + 1 :]
-    return len(end) > 1 and end.isalpha() and end.lower() not in LEADING and end.lower() not in CLOSING
-
-
-def rough_sentences(text: str) -> list[str]:
-    """Sentences by the conventions alone, for counting; Thai is cut at its gaps between letters."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        start, end = m.span()
-        mark = text[start]
-        after = text[end + 1 : end + 2] if text[end : end + 1] == " " else ""
-        if after.islower():
-            known = False
-        elif end - start == 1 and mark in "。！？।؟" and not text[end : end + 1].islower():
-            known = True
-        elif end - start == 1 and after.isupper() and (mark in "!?" or _plain_word(text[max(0, start - 4) : start])):
-            known = True  # a plain word, its mark, a space, an upper-case letter
-        else:
-            known = _convention(text, start, end, at)[0]
-        if known:
-            out.append(text[at:end])
-            at = end
-    if at < len(text):
-        out.append(text[at:])
-    if not text.isascii() and _THAI.search(text):
-        out = [y for x in out for y in (re.split(r"(?<=[฀-๿])\s+(?=[฀-๿])", x) if _THAI.search(x) else [x])]
+    word = _word_before(text, since, start)
+    head = h[0] if (h := _SHOWN.search(text, since, start)) else ""
+    quoted = bool(closers.strip("   \n)]")) and head != "" and head in _OPEN
+    kind = "s" if any(x in _STRONG for x in last) else "f" if any(x in _FULL for x in last) else "e" if "…" in last or ".." in last else "p"
+    key = start_key(text, end)
+    begins = known.next_of(key)
+    gap = start - len(word)
+    while gap > since and (text[gap - 1].isspace() or text[gap - 1] in _STOP):
+        gap -= 1
+    before = _word_before(text, since, gap) if kind == "p" else ""
+    out = [
+        f"m={kind}|{case}",
+        f"m2={last[:2]}|{bool(closers)}|{case}",
+        f"q={quoted}|{kind}|{case}|{opener[:1]}",
+        f"c={closers[:1]}|{case}|{text[end : end + 1] if not text[end : end + 1].isalnum() else ''}",
+        f"o={opener[:1]}|{kind}|{case}",
+        f"k={key if not _UNSPACED.match(key) else key[:1]}|{quoted}",
+    ]
+    if quoted or kind != "p":
+        out.append(f"n={quoted}|{kind}|{begins}")
+    if kind == "p" and not closers:
+        bare, shape, low = known.bare_of(word), _shape(word), word.lower()
+        out += [f"w={low}", f"w2={low}|{case}|{begins}", f"b={bare}|{case}|{begins}", f"s={shape}|{case}", f"s2={bare}|{shape}|{case}|{begins}", f"l={len(word)}|{bare}", f"v={'.' in word}|{case}", f"d={before.isdigit() if before else ''}|{low}|{case}"]
+    return out
+
+
+def _gap_features(text: str, start: int, end: int, known: Lexicon) -> list[str]:
+    """Of a place without a mark: the characters on both sides, alone and joined to words."""
+    a, b = text[max(0, start - 1) : start], text[end : end + 1]
+    kind = "g" if end > start else "t"
+    begins = known.next_of(start_key(text, end))
+    out = [f"{kind}={_case(a)}|{_case(b)}", f"{kind}n={begins}|{_case(a)}", f"{kind}q={a if not a.isalnum() else ''}|{b if not b.isalnum() else ''}"]
+    out += [f"{kind}<{text[max(0, start - k) : start]}" for k in (1, 2, 3, 4)]
+    out += [f"{kind}>{a.isdigit()}|{text[end : end + k]}" for k in (1, 2, 3, 4, 6, 8)]
+    if kind == "t":
+        out.append(f"tt={a}{b}")
     return out
 
 
 class Tagger:
-    """weights: of the features for a boundary, against one without. turn: of a tag after the one before, turn[before][tag]."""
+    """weights: of the features for a boundary, against one without. turn: of a tag after the one before at a distance,
+    turn[distance][before][tag]."""
 
-    def __init__(self, weights: dict[str, float], turn: Sequence[Sequence[float]], starts: frozenset[str]) -> None:
-        self.weights, self.turn, self.starts = weights, turn, starts
+    def __init__(self, weights: Mapping[str, float], turn: Sequence[Sequence[Sequence[float]]], known: Lexicon) -> None:
+        self.weights, self.turn, self.known = weights, turn, known
 
     def candidates(self, text: str) -> list[tuple[int, int, bool]]:
-        out = [(m.start(), m.end(), False) for m in _END.finditer(text)]
+        """Places where a sentence can end: (start, end, whether it is a mark)."""
+        size = len(text.rstrip())
+        out = [(m.start(), m.end(), True) for m in _END.finditer(text)]
         if _THAI.search(text):
-            out += [(m.start(), m.end(), True) for m in _THAI_GAP.finditer(text) if _THAI.search(text, max(0, m.start() - 12), m.end() + 12)]
+            taken = {e for _, e, _ in out}
+            out += [(m.start(), m.end(), False) for m in _GAP.finditer(text) if m.start() not in taken and 0 < m.start() and m.end() < size and _thai_beside(text, m.start(), m.end())]
             out.sort()
-        return out
+        elif _EAST.search(text) and not any(e < size for _, e, _ in out):  # a block without marks
+            out += [(m.start(), m.start(), False) for m in re.finditer(r"(?<=[぀-ヿ一-鿿ー々])(?=[぀-ヿ一-鿿])", text)]
+            out.sort()
+        return [x for x in out if x[1] < size]
 
-    def features(self, text: str, start: int, end: int, thai: bool, since: int) -> tuple[list[str], bool]:
-        return _thai_features(text, start, end, since, self.starts) if thai else _features(text, start, end, since)
+    def emission(self, text: str, start: int, end: int, mark: bool, since: int) -> list[str]:
+        return _features(text, start, end, since, self.known) if mark else _gap_features(text, start, end, self.known)
 
-    def ends(self, text: str, gold: frozenset[int] | None = None) -> list[int]:
-        """Where sentences end; the last is the end of the text. Two hypotheses, one for each tag of the last candidate. With gold, the
-        boundaries of a sample, each other tag is favoured by MARGIN."""
-        text_end = len(text.rstrip())
+    def decode(self, text: str, places: Sequence[tuple[int, int, bool]], told: Sequence[bool | None] = (), force: bool = False, memo: dict | None = None) -> list[bool]:
+        """Viterbi over the places: their tags. told: known tags, which are favoured against by MARGIN, or with force obeyed.
+        A state is the last tag; it carries where its open sentence began, which the emissions look at."""
         weights, turn = self.weights, self.turn
-        # state: tag -> (score, start of the open sentence, ends)
-        best = {0: (0.0, 0, ())}
-        for start, end, thai in self.candidates(text):
-            if end >= text_end:
-                break
-            new: dict[int, tuple[float, int, tuple]] = {}
-            seen: dict[int, float] = {}
-            for tag, (score, since, path) in best.items():
-                if (s := seen.get(since)) is None:
-                    s = seen[since] = sum(weights.get(x, 0.0) for x in self.features(text, start, end, thai, since)[0])
-                if gold is not None:
-                    s += -MARGIN if end in gold else MARGIN
-                for to, gain in ((1, s), (0, -s)):
-                    value = score + gain + turn[tag][to]
-                    if to not in new or value > new[to][0]:
-                        new[to] = (value, end if to else since, (path, end) if to else path)
-            best = new
-        _, _, path = max(best.values(), key=lambda x: x[0])
-        out = [text_end]
-        while path:
-            path, end = path
-            out.append(end)
+        best: list[tuple[float, int, tuple | None] | None] = [None, (0.0, 0, None)]
+        last = 0
+        for i, (start, end, mark) in enumerate(places):
+            row = turn[_step(_distance(text, last, start))]
+            new: list[tuple[float, int, tuple | None] | None] = [None, None]
+            known = told[i] if i < len(told) else None
+            scores: dict[int, float] = {}
+            for tag, state in enumerate(best):
+                if state is None:
+                    continue
+                score, since, path = state
+                at = since if mark else -1
+                s = scores.get(at)
+                if s is None:
+                    f = None if memo is None else memo.get((i, at))
+                    if f is None:
+                        f = self.emission(text, start, end, mark, since)
+                        if memo is not None:
+                            memo[i, at] = f
+                    s = 0.0
+                    for x in f:
+                        s += weights.get(x, 0.0)
+                    scores[at] = s
+                for to in (0, 1):
+                    value = score + (s if to else -s) + row[tag][to]
+                    if known is not None and known != bool(to):
+                        value += -1e9 if force else MARGIN
+                    if new[to] is None or value > new[to][0]:
+                        new[to] = (value, end if to else since, (path, to))
+            best, last = new, end
+        path = max((s for s in best if s is not None), key=lambda s: s[0])[2]
+        out = []
+        while path is not None:
+            path, to = path
+            out.append(bool(to))
         return out[::-1]
 
+    def ends(self, text: str) -> list[int]:
+        """Where sentences end; the last is the end of the text without the white space behind it."""
+        places = self.candidates(text)
+        return [e if mark else s for (s, e, mark), tag in zip(places, self.decode(text, places)) if tag] + [len(text.rstrip())]
+
     def split(self, text: str) -> list[str]:
         out, at = [], 0
         for end in self.ends(text):
@@ -227,93 +246,151 @@ class Tagger:
         return out
 
 
+def _thai_beside(text: str, start: int, end: int) -> bool:
+    """Whether the nearest letters on either side of a gap are Thai, whatever digits and signs lie between."""
+    i = start - 1
+    while i >= 0 and not text[i].isalpha() and not _THAI.match(text[i]):
+        i -= 1
+    j = end
+    while j < len(text) and not text[j].isalpha() and not _THAI.match(text[j]):
+        j += 1
+    return i >= 0 and bool(_THAI.match(text[i])) or j < len(text) and bool(_THAI.match(text[j]))
+
+
 #: Marks of an unpunctuated script's samples, without the period inside a number.
 _BARE = re.compile(r"[!?…؟।॥。！？｡,،，、;:：；\"'“”‘’«»‹›「」『』()\[\]]|(?<!\d)\.|\.(?!\d)")
 
 
-def stripped(text: str) -> tuple[str, set[int]]:
-    """A sample of an unpunctuated script without its marks, and where the gaps begin that the stripped marks show to be boundaries.
-    Other samples stay as they are."""
-    if not _THAI.search(text):
-        return text, set()
-    known, since = set(), 0
-    for m in _END.finditer(text):
-        if m.end() < len(text) and _convention(text, m.start(), m.end(), since)[0]:
-            known.add(m.end())
-            since = m.end()
-    out, shown = "", set()
+def stripped(text: str, shown: Sequence[int] = ()) -> tuple[str, set[int]]:
+    """A text of a script without spaces with its marks stripped, and where the boundaries lie then that lay at shown. Thai gets a gap
+    where a mark was, Chinese and Japanese none. Other texts stay as they are."""
+    if not _UNSPACED.search(text):
+        return text, set(shown)
+    thai = bool(_THAI.search(text))
+    at_mark, out, kept = set(shown), "", set()
     for at, c in enumerate(text):
-        if at in known:
+        if at in at_mark:
             out = out.rstrip()
-            shown.add(len(out))
-            out += "" if c.isspace() else " "
+            kept.add(len(out))
+            out += "" if c.isspace() or not thai else " "
         if not _BARE.match(text, at):
             out += c
-    return out.rstrip(), shown
+    return out.rstrip(), kept - {0, len(out.rstrip())}
 
 
-def train(samples: Sequence[str], rounds: int = ROUNDS) -> Tagger:
-    """Averaged structured perceptron over the tags of the samples' candidates, with the tags' transitions. Samples are joined in pairs;
-    where one ends a sentence ends, as it does at the marks stripped from it, and elsewhere the convention gives the label."""
-    bare = {s: stripped(s) for s in sorted(set(filter(None, samples)))}
-    starts: set[str] = set()
-    for text, _ in bare.values():
-        if _THAI.search(text):
-            for at in [0, *(m.end() for m in _THAI_GAP.finditer(text))]:
-                before = text[:at].rstrip()[-1:]
-                if not before.isdigit() and _THAI.match(text, at):
-                    starts |= {text[at : at + k] for k in (4, 5, 6, 8)}
-    kept = frozenset(s for s in starts if not _THAI_AFTER.match(s) or len(s) >= 6)
+def _told(text: str, start: int, end: int, mark: bool, known: Lexicon) -> bool | None:
+    """What the orthography alone shows of a place inside a training text: a boundary, none, or nothing."""
+    n = _NEXT.match(text, end)
+    opener, c = n[1], n[2]
+    case = _case(c)
+    key = start_key(text, end)
+    begins = known.starts[key] > 1 and known.next_of(key) == "start"
+    if not mark:
+        a = text[start - 1 : start]
+        if case in ("digit", "other") and not opener or a in "“„«(":
+            return False
+        if begins:
+            return True
+        return False if a.isdigit() else None
+    kind = text[start:end]
+    if case == "lower" or case == "digit" and kind == "." or text[end : end + 1] in (",", "،", "，", "、", ";", ":"):
+        return False
+    closed = len(kind.rstrip("\"'”’“」』›»")) < len(kind)
+    spoken = closed and case == "plain" and not opener  # who speaks may follow a quotation
+    if spoken and any(x in _STRONG for x in kind):
+        return False  # the words naming the speaker belong to the quotation
+    if opener[:1] in ("—", "–", "-") and case != "upper":
+        return False
+    if kind == "." and case in ("upper", "plain", "digit") and not opener and known.next_of(key) in ("other", "rare"):
+        word = _word_before(text, 0, start)
+        if word and (word.isdigit() or known.bare_of(word) == "no"):
+            return False  # a word that is only written with its period, before one that begins no sentence
+    if (case == "upper" or case == "plain") and not spoken and (any(x in _STRONG or x in _FULL for x in kind) or begins):
+        return True
+    return None
+
+
+def train(samples: Sequence[str], paragraphs: Sequence[str] = (), rounds: int = ROUNDS) -> Tagger:
+    """Averaged structured perceptron with latent tags where the text doesn't show them. samples and paragraphs each begin and end
+    with a sentence; they are joined in pairs, so that every joint is a known boundary."""
+    every = [t.strip() for t in dict.fromkeys([*sorted(set(filter(None, samples))), *paragraphs]) if t and t.strip()]
+    known = Lexicon()
+    for t in every:
+        known.add(t)
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
-    turn, turns = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
-    tagger = Tagger(weights, turn, kept)
-    texts = []
-    each = list(bare.values())
-    for (a, shown), (b, more) in zip(each, each[1:] + each[:1]):
-        text = f"{a} {b}"
-        known = {len(a)} | shown | {len(a) + 1 + x for x in more}
-        gold, since, text_end = [], 0, len(text.rstrip())
-        for start, end, thai in tagger.candidates(text):
-            if end >= text_end:
-                break
-            f, label = tagger.features(text, start, end, thai, since)
-            label = label or (start if thai else end) in known
-            gold.append((start, end, thai, f, label))
-            since = end if label else since
-        texts.append((text, gold))
+    steps = range(len(_STEPS) + 1)
+    turn, turns = [[[0.0, 0.0], [0.0, 0.0]] for _ in steps], [[[0.0, 0.0], [0.0, 0.0]] for _ in steps]
+    tagger = Tagger(weights, turn, known)
+    # neighbours of a script are joined, with a gap where the script writes one
+    every.sort(key=lambda t: bool(_UNSPACED.search(t)) + bool(_THAI.search(t)))
+    rows = []
+
+    def add(text: str, sure: set[int]) -> None:
+        places = tagger.candidates(text)
+        told = [True if (e if mark else s) in sure else (_told(text, s, e, mark, known)) for s, e, mark in places]
+        memo: dict = {}
+        for t in texts:
+            known.add(t, -1)  # a text's own words and beginning tell nothing of it
+        for i, (s, e, mark) in enumerate(places):
+            for since in {0, *(b for _, b, _ in places[:i])} if i < 6 else ():
+                memo[i, since if mark else -1] = tagger.emission(text, s, e, mark, since)
+        for t in texts:
+            known.add(t)
+        rows.append((text, places, told, memo))
+
+    for a, b in zip(every, every[1:] + every[:1]):
+        texts = (a, b) if a != b else (a,)
+        glue = "" if _EAST.search(a) and _EAST.search(b) else " "
+        add(a + glue + b, {len(a)})
+        if _UNSPACED.search(a) and _UNSPACED.search(b):
+            shown = {e if mark else s for s, e, mark in tagger.candidates(a + glue + b) if (e if mark else s) == len(a) or mark and _told(a + glue + b, s, e, mark, known)}
+            bare, kept = stripped(a + glue + b, sorted(shown | {len(a)}))
+            places = tagger.candidates(bare)
+            if _EAST.search(bare) and not _THAI.search(bare):  # all but the known boundaries are inside
+                rows.append((bare, places, [(e if mark else s) in kept for s, e, mark in places], {}))
+            else:
+                add(bare, kept)
     order = random.Random(4)
-    step = 1
+    now = 1
     for _ in range(rounds):
-        order.shuffle(texts)
+        order.shuffle(rows)
         wrong = 0
-        for text, gold in texts:
-            right = frozenset(end for _, end, _, _, label in gold if label)
-            ends = set(tagger.ends(text, right)[:-1])
-            if ends != right:
+        for text, places, told, memo in rows:
+            if not places:
+                continue
+            guess = tagger.decode(text, places, told, memo=memo)
+            right = tagger.decode(text, places, told, force=True, memo=memo)
+            if guess != right:
                 wrong += 1
-                since = before = told = 0
-                for start, end, thai, f, label in gold:
-                    tag = end in ends
-                    own = tagger.features(text, start, end, thai, since)[0]
-                    for features, d in ((f, 1.0 if label else -1.0), (own, -1.0 if tag else 1.0)):
-                        for x in features:
-                            weights[x] += d
-                            total[x] += step * d
-                    for row, to, d in ((before, label, 1.0), (told, tag, -1.0)):
-                        turn[row][to] += d
-                        turns[row][to] += step * d
-                    since, before, told = end if tag else since, int(label), int(tag)
-            step += 1
+                for tags, d in ((right, 1.0), (guess, -1.0)):
+                    since = last = 0
+                    before = 1
+                    for i, ((start, end, mark), tag) in enumerate(zip(places, tags)):
+                        sign = d if tag else -d
+                        for x in memo.get((i, since if mark else -1)) or tagger.emission(text, start, end, mark, since):
+                            weights[x] += sign
+                            total[x] += now * sign
+                        k = _step(_distance(text, last, start))
+                        turn[k][before][tag] += d
+                        turns[k][before][tag] += now * d
+                        since, last, before = end if tag else since, end, int(tag)
+            now += 1
         if not wrong:
             break
-    final = {x: w - total[x] / step for x, w in weights.items() if w or total[x]}
-    return Tagger(final, [[w - t / step for w, t in zip(*rows)] for rows in zip(turn, turns)], kept)
+    final = {x: w - total[x] / now for x, w in weights.items() if w or total[x]}
+    return Tagger(final, [[[w - t / now for w, t in zip(*two)] for two in zip(*both)] for both in zip(turn, turns)], known)
 
 
 def trained(spark, sf_dir: str) -> Tagger:
+    """Trained on the clean samples and the paragraphs of a bounded sample of pages, about TRAIN_PAGES chosen by a hash of their ids,
+    so the choice is the same in every run. A paragraph begins and ends with a sentence; nothing else is known of it."""
     rows = table(spark, sf_dir, "language_samples", "text").where("text is not null").limit(TRAIN_ROWS).collect()
-    return train([r[0] for r in rows])
+    pages = _pages(spark, sf_dir).where("source is not null")
+    share = TRAIN_PAGES / max(1, pages.count())
+    chosen = pages.where(F.pmod(F.xxhash64("field_name", "job_id"), F.lit(1_000_003)) < share * 1_000_003).limit(2 * TRAIN_PAGES).select("job_id", "source").collect()
+    texts = [t for r in sorted(chosen) for t in paragraphs(r[1])]
+    return train([r[0] for r in rows], texts[:TRAIN_PARAGRAPHS])
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*|/)?)>|<[!?][^<>]*>", re.S)
@@ -388,32 +465,30 @@ def _sentence_ends(page: str | None, tagger: Tagger) -> list[dict]:
             at = end
             if more:
                 count += more
-                out.append({"block_no": block, "end_pos": count, "sentence": None})
+                out.append({"block_no": block, "end_pos": count})
     return out
 
 
 def sentence_ends(df: DataFrame, page: str, tagger: Tagger, out: str = "ends") -> DataFrame:
-    """Adds ARRAY<STRUCT<block_no, end_pos>>; the model travels with the function, a few kilobytes. Null pages give an empty array."""
+    """Adds ARRAY<STRUCT<block_no, end_pos>>; the model travels with the function, bounded as its training text is. Null and empty
+    pages give an empty array; a column named out is replaced, others pass through."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pd.Series([[{"block_no": e["block_no"], "end_pos": e["end_pos"]} for e in _sentence_ends(p, tagger)] for p in pages], dtype=object)
+            yield pd.Series([_sentence_ends(p, tagger) for p in pages], dtype=object)
 
     return df.withColumn(out, F.pandas_udf(run, "array<struct<block_no:int,end_pos:int>>")(F.col(page)))
 
 
 def _pages(spark, sf_dir: str) -> DataFrame:
-    """Jobs once each: ids are compared first, so only one copy of a re-delivered page is read by the model."""
-    each = None
-    for name in ("unicode_jobs", "ar_jobs"):
-        rows = table(spark, sf_dir, name, F.lit(f"{name}.source").alias("field_name"), "job_id", "source").dropDuplicates(["job_id"])
-        each = rows if each is None else each.unionByName(rows)
-    return each
+    unicode, ar = (table(spark, sf_dir, name, F.lit(f"{name}.source").alias("field_name"), "job_id", "source") for name in ("unicode_jobs", "ar_jobs"))
+    return unicode.unionByName(ar)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    rows = sentence_ends(_pages(spark, sf_dir), "source", trained(spark, sf_dir)).select("field_name", "job_id", F.explode("ends").alias("e"))
-    return rows.select("field_name", "job_id", "e.block_no", "e.end_pos")
+    """Copies of a re-delivered page are tagged alike; one of them is kept by its id, so no text is shuffled."""
+    rows = sentence_ends(_pages(spark, sf_dir), "source", trained(spark, sf_dir)).select("field_name", "job_id", "ends")
+    return rows.dropDuplicates(["field_name", "job_id"]).select("field_name", "job_id", F.explode("ends").alias("e")).select("field_name", "job_id", "e.block_no", "e.end_pos")
 
 
 def p4_sentences(spark, sf_dir: str) -> DataFrame:
@@ -425,4 +500,5 @@ def p4_sentences(spark, sf_dir: str) -> DataFrame:
             yield pd.Series([[{"block_no": b, "sentence_no": k, "sentence": s} for b, t in enumerate(paragraphs(p), 1) for k, s in enumerate(tagger.split(t), 1)] for p in pages], dtype=object)
 
     cut = F.pandas_udf(run, "array<struct<block_no:int,sentence_no:int,sentence:string>>")
-    return _pages(spark, sf_dir).select("field_name", "job_id", F.explode(cut("source")).alias("s")).select("field_name", "job_id", "s.*")
+    rows = _pages(spark, sf_dir).select("field_name", "job_id", cut("source").alias("all")).dropDuplicates(["field_name", "job_id"])
+    return rows.select("field_name", "job_id", F.explode("all").alias("s")).select("field_name", "job_id", "s.*")

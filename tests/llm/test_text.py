@@ -27,8 +27,8 @@ def models(samples):
 
 
 @pytest.fixture(scope="module")
-def tagger(samples):
-    return sentences.train([t for _, t in samples])
+def tagger(spark):
+    return sentences.trained(spark, "/root/testdata/sf0.01")
 
 
 # 1
@@ -287,20 +287,49 @@ def test_thai(tagger):
     assert len(tagger.split(text)) == 3
 
 
-def test_learned_weights_overrule_the_convention(samples):
-    text = "She took the sec. Then they left."
-    assert sentences.train([t for _, t in samples]).split(text) == [text]  # 'sec.' is in the list of abbreviations
-    ends = [f"The {x} keeps the sec." for x in "reader clerk author printer editor writer keeper teacher".split()]
-    assert sentences.train(ends).split(text) == ["She took the sec.", "Then they left."]
+def ablated(tagger, weights=True, turn=True):
+    none = [[[0.0, 0.0], [0.0, 0.0]] for _ in tagger.turn]
+    return sentences.Tagger(tagger.weights if weights else {}, tagger.turn if turn else none, tagger.known)
 
 
-def test_transitions_are_learned(tagger):
-    assert any(x for row in tagger.turn for x in row)
+def test_emissions_and_transitions_decide(spark, tagger):
+    """Each of the two parts of the model changes rows by itself."""
+    texts = [t for r in table(spark, DIR, "unicode_jobs", "source").collect() for t in sentences.paragraphs(r[0])]
+    whole = [tagger.ends(t) for t in texts]
+    assert sum(a != b for a, b in zip(whole, map(ablated(tagger, weights=False).ends, texts))) > 0.3 * len(texts)
+    assert any(a != b for a, b in zip(whole, map(ablated(tagger, turn=False).ends, texts)))
 
 
-def test_marks_of_unpunctuated_samples_are_stripped():
-    assert sentences.stripped("นักแปลมาแล้ว! ผู้อ่าน “ถาม”ว่า 11.73 ไหม") == ("นักแปลมาแล้ว ผู้อ่าน ถามว่า 11.73 ไหม", {len("นักแปลมาแล้ว")}) and sentences.stripped("Yes! No.") == ("Yes! No.", set())
-    assert sentences.stripped("นักแปล!ผู้อ่าน") == ("นักแปล ผู้อ่าน", {6})
+def test_abbreviations_are_learned(samples):
+    """No list knows them: an invented one is learned from text that shows it, and a listed-looking one that ends sentences is not."""
+    base = [t for _, t in samples]
+    seen = [f"The {x} reads the wuzz. {n} again." for n, x in enumerate("reader clerk author printer editor writer keeper teacher".split(), 11)]
+    assert sentences.train(base + seen).split("She took the wuzz. 7 home.") == ["She took the wuzz. 7 home."]
+    ends = [f"The {x} keeps the sec." for x in "reader clerk author printer editor writer keeper teacher".split()]
+    assert sentences.train(base + ends).split("She took the sec. The reader left.") == ["She took the sec.", "The reader left."]
+
+
+@pytest.mark.parametrize("lang", ["zh", "ja", "th"])
+def test_unpunctuated_text(samples, lang):
+    """Held-out samples, joined and stripped of all marks, are cut where they were joined more often than not, and seldom elsewhere."""
+    own = [t for a, t in samples if a == lang]
+    tagger = sentences.train([t for a, t in samples if a != lang] + own[:-5])
+    right = told = 0
+    for a in own[-5:]:
+        for b in own[-5:]:
+            if a != b:
+                glue = " " if lang == "th" else ""
+                first, _ = sentences.stripped(a)
+                both, _ = sentences.stripped(a + glue + b)
+                got = tagger.ends(both)[:-1]
+                right += len(first) in got
+                told += len(got)
+    assert right >= 10 and told <= 80, (right, told)
+
+
+def test_stripped_text_keeps_its_boundaries():
+    assert sentences.stripped("นักแปลมาแล้ว! ผู้อ่าน “ถาม”ว่า 11.73 ไหม", [13]) == ("นักแปลมาแล้ว ผู้อ่าน ถามว่า 11.73 ไหม", {12})
+    assert sentences.stripped("翻译者来了。谁？", [6]) == ("翻译者来了谁", {5}) and sentences.stripped("Yes! No.", [4]) == ("Yes! No.", {4})
 
 
 def test_paragraphs():
