@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,15 @@ def deduplicate(df: DataFrame, keys: list[str], order: str = "received_at") -> D
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder of spark.checkpoint.dir; a temporary one is set only where none is configured."""
+    """Checkpoint to the folder of spark.checkpoint.dir. Where none is set, a session on this machine alone (local[...], as in tests)
+    gets a temporary one; on a cluster it is an error, as the other machines couldn't read it."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir: name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -34,3 +34,13 @@ def test_write_once(spark, tmp_path):
     files.write_once(spark.range(2), str(tmp_path / "t"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         files.write_once(spark.range(2), str(tmp_path / "t"))
+
+
+def test_no_private_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from leafmill.sources import shared_checkpoint
+
+    context = N(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_checkpoint(N(sparkSession=N(sparkContext=context, conf={})))
