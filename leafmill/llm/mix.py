@@ -21,40 +21,42 @@ from ..sources import shared_checkpoint, table
 FAN_IN = 4096
 #: Stands for a missing id inside the operator.
 NO_ID = -(2**63)
+#: What is nearer to 0 or 1 counts as whole.
+EPS = 1e-9
+#: A plan of up to so many rows is broadcast.
+PLAN_ROWS = 10_000
 _SCHEMA = "mix_id int, source string, item long, size long, copies int, rest double, part int"
 
 
-def pivot(ids: np.ndarray, rest: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounds rest (each in 0..1) in order; gives 0/1 decisions and the index left fractional, or -1. u: uniforms, one for each."""
-    out = np.zeros(len(rest), dtype=np.int32)
-    held, p = -1, 0.0
-    eps = 1e-9
-    for i, q in enumerate(rest.tolist()):
-        if q <= eps:
-            continue
-        if q >= 1 - eps:
-            out[i] = 1
-            continue
-        if held < 0:
-            held, p = i, q
-            continue
-        s, r = p + q, u[i]
-        if s < 1 - eps:  # one gets 0
-            if r * s < p:
-                p = s
-            else:
-                held, p = i, s
-        elif s <= 1 + eps:
-            out[held if r < p else i] = 1
-            held = -1
-        elif r * (2 - s) < 1 - q:  # one gets 1
-            out[held] = 1
-            held, p = i, s - 1
-        else:
-            out[i], p = 1, s - 1
-    if held >= 0:
-        rest[held] = p
-    return out, held
+def pivot(rest: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rounds rest (each in 0..1) in turns: neighbours among those still fractional are paired and pass mass between them until one of
+    each pair is whole, all pairs at once. Gives 0/1 decisions and the index left fractional, or -1, whose rest is updated.
+    u: uniforms, rows by turn (at least one more than the binary logarithm of the count), columns by index."""
+    rest[rest <= EPS], rest[rest >= 1 - EPS] = 0.0, 1.0
+    live = np.flatnonzero((rest > 0) & (rest < 1))
+    turn = 0
+    while len(live) > 1:
+        odd = live[-1:] if len(live) % 2 else live[:0]
+        a, b = live[0 : len(live) - len(odd) : 2], live[1::2][: (len(live) - len(odd)) // 2]
+        p, q, r = rest[a], rest[b], u[turn % len(u)][a]
+        s = p + q
+        low = s < 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # below 1 one of them gets nothing and the other both; from 1 on one gets a whole and the other what is over
+            first = np.where(low, r * s < p, r * (2 - s) < 1 - q)
+        rest[a] = np.where(low, np.where(first, s, 0.0), np.where(first, 1.0, s - 1))
+        rest[b] = np.where(low, np.where(first, 0.0, s), np.where(first, s - 1, 1.0))
+        rest[rest <= EPS], rest[rest >= 1 - EPS] = 0.0, 1.0
+        live = np.concatenate([live[: len(live) - len(odd)], odd])
+        live = live[(rest[live] > 0) & (rest[live] < 1)]
+        turn += 1
+    held = int(live[0]) if len(live) else -1
+    return (rest == 1.0).astype(np.int32), held
+
+
+def _uniforms(ids: np.ndarray, mix: int, seed: int) -> np.ndarray:
+    """Rows of uniforms, enough turns for pivot()."""
+    return np.stack([_uniform(ids, mix, seed + 7919 * k) for k in range(max(1, int(len(ids)).bit_length() + 1))])
 
 
 def _uniform(ids: np.ndarray, mix: int, seed: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def _round(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     rows = rows.sort_values(["size", "item"], kind="stable").reset_index(drop=True)
     rest = rows["rest"].to_numpy(dtype=np.float64, copy=True)
     ids = rows["item"].to_numpy(dtype=np.int64)
-    more, held = pivot(ids, rest, _uniform(ids, int(rows["mix_id"].iloc[0]), seed))
+    more, held = pivot(rest, _uniforms(ids, int(rows["mix_id"].iloc[0]), seed))
     left = np.zeros(len(rows))
     if held >= 0:
         left[held] = rest[held]
@@ -80,7 +82,7 @@ def _round(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """sizes(source, size): one row per mix and source with the total, the target, the copies wanted and the copies given.
+    """sizes(source, size): one row per mix and source with the tokens and documents there are, the target and the copies wanted.
 
     The aggregate is one row per source. The total of a mix counts all rows with a source, whether the mix uses it or not.
     """
@@ -89,27 +91,26 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     plan = targets.select("mix_id", "source", "target_weight", "max_repeats").join(sums, "source", "left").join(F.broadcast(total))
     plan = plan.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     plan = plan.withColumn("target_tokens", F.col("target_weight") * F.col("all_tokens"))
-    plan = plan.withColumn("falls_short", F.col("max_repeats") * F.col("tokens") < F.col("target_tokens"))
-    wanted = F.when(F.col("tokens") > 0, F.col("target_tokens") / F.col("tokens")).otherwise(F.lit(0.0))
-    return plan.withColumn("copies_each", F.least(wanted, F.col("max_repeats").cast("double")))
+    most = F.col("max_repeats").cast("double")
+    return plan.withColumn("copies_each", F.when(F.col("tokens") > 0, F.least(F.col("target_tokens") / F.col("tokens"), most)).otherwise(most))
 
 
 def mix_sources(items: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """items(item, source, size), targets(mix_id, source, target_weight, max_repeats) -> (copies, plan).
 
-    copies: mix_id, source, item, size, copies for every document with at least one copy. targets is a parameter table of
-    a few rows. Rows without a source belong to no mix. Null sizes count as 0. A source without documents gets no copies and
-    keeps its row in plan. Two documents of the same id are two documents. A null id stays null. Other columns are left out.
+    copies: mix_id, source, item, size, copies for every document with at least one copy. targets is a parameter table. Rows without a
+    source belong to no mix. Null sizes count as 0. A source without documents gets no copies and keeps its row in plan; documents of
+    size 0 in a source without any tokens get all their copies. Two documents of the same id are two documents. A null id stays null.
+    Other columns are left out.
+
+    Sizes are measured once and written to the checkpoint. A document's fate depends on its id, the seed and which documents it is
+    paired with; those are its neighbours by size in its Arrow batch, so a task run again over the same rows decides alike, and the
+    checkpoint keeps what was decided.
     """
-    items = items.select(F.coalesce(F.col("item").cast("long"), F.lit(NO_ID)).alias("item"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    plan = mix_plan(items, targets)
-    rows = plan.select("mix_id", "source", "copies_each").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("targets: up to 100000 rows")
-    each: dict[str, list[tuple[int, float]]] = {}
-    for mix_id, source, copies in rows:
-        if source is not None and copies and copies > 0:
-            each.setdefault(source, []).append((mix_id, copies))
+    items = shared_checkpoint(items.select(F.coalesce(F.col("item").cast("long"), F.lit(NO_ID)).alias("item"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")).where("source is not null"))
+    plan = shared_checkpoint(mix_plan(items, targets))
+    each = plan.where("copies_each > 0").select("mix_id", "source", "copies_each")
+    wanted = items.join(F.broadcast(each) if plan.count() <= PLAN_ROWS else each, "source").select("mix_id", "source", "item", "size", "copies_each")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -117,20 +118,18 @@ def mix_sources(items: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[Da
         part = TaskContext.get().partitionId()
         held: dict[tuple[int, str], pd.DataFrame] = {}
         for batch in batches:
-            for source, own in batch.groupby("source", sort=True):
-                for mix_id, copies in each.get(source, ()):
-                    whole = int(copies)
-                    rows = pd.DataFrame({"mix_id": mix_id, "source": source, "item": own["item"], "size": own["size"], "copies": whole, "rest": copies - whole, "part": part})
-                    if (mix_id, source) in held:
-                        rows = pd.concat([held.pop((mix_id, source)), rows])
-                    rows = _round(rows.astype({"mix_id": "int32", "copies": "int32", "part": "int32"}), seed)
-                    if (loose := rows["rest"] > 0).any():
-                        held[mix_id, source] = rows[loose]
-                        rows = rows[~loose]
-                    yield rows[rows["copies"] > 0]
+            for key, own in batch.groupby(["mix_id", "source"], sort=True):
+                whole = own["copies_each"].to_numpy(dtype=np.float64)
+                rows = pd.DataFrame({"mix_id": own["mix_id"], "source": own["source"], "item": own["item"], "size": own["size"], "copies": whole.astype(np.int64), "rest": whole - whole.astype(np.int64), "part": part})
+                if key in held:
+                    rows = pd.concat([held.pop(key), rows])
+                rows = _round(rows.astype({"mix_id": "int32", "copies": "int32", "part": "int32"}), seed)
+                if (loose := rows["rest"] > 0).any():
+                    held[key] = rows[loose]
+                    rows = rows[~loose]
+                yield rows[rows["copies"] > 0]
         yield from held.values()
 
-    wanted = items.where(F.col("source").isin(list(each)) if each else F.lit(False))
     done = shared_checkpoint(wanted.mapInPandas(local, _SCHEMA))
     whole, loose = done.where("rest = 0"), done.where("rest > 0")
     width = max(1, loose.select(F.max("part")).first()[0] or 0) + 1
@@ -155,10 +154,12 @@ def mix_sources(items: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[Da
 
 
 def mix_report(items: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """Per mix and source: target, what the copies reach, the share of the mix's total reached, and whether it falls short."""
+    """Per mix and source: target, what the copies reach, the share of the mix's total reached, and whether it falls short: all its
+    documents are used as often as they may be, and what they reach is less than the target."""
     copies, plan = mix_sources(items, targets, seed)
     reached = copies.groupBy("mix_id", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached_tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
     out = plan.join(reached, ["mix_id", "source"], "left").na.fill(0, ["reached_tokens", "copies", "most_copies"])
+    out = out.withColumn("falls_short", (F.col("copies") >= F.col("max_repeats") * F.col("documents")) & (F.col("reached_tokens") < F.col("target_tokens")))
     mix = out.groupBy("mix_id").agg(F.sum("reached_tokens").alias("mix_tokens"))
     out = out.join(mix, "mix_id")
     share = F.when(F.col("mix_tokens") > 0, F.col("reached_tokens") / F.col("mix_tokens")).otherwise(F.lit(0.0))

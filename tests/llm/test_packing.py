@@ -25,6 +25,33 @@ def test_search_empties_a_bin():
     assert len(pack.improve([[0], [2], [1], [3]], sizes, 10)) == 2
 
 
+def test_search_is_at_a_local_optimum_and_empties_bins():
+    rng = random.Random(8)
+    emptied = 0
+    for _ in range(60):
+        sizes = [rng.randrange(20, 70) for _ in range(40)]
+        start = [[i, i + 20] if sizes[i] + sizes[i + 20] <= 100 else [i] for i in range(20)]
+        start += [[i + 20] for i in range(20) if sizes[i] + sizes[i + 20] > 100]
+        got = pack.improve(start, sizes, 100)
+        emptied += len(start) - len(got)
+        fill = [sum(sizes[i] for i in b) for b in got]
+        assert sorted(i for b in got for i in b) == list(range(40)) and max(fill) <= 100
+        for a in range(len(got)):  # brute force: no move or exchange raises the squares
+            for b in range(len(got)):
+                if a != b and fill[a] < 100:
+                    for x in (0, *(sizes[i] for i in got[a])):
+                        for y in (*((sizes[i],) for i in got[b]), *((sizes[i], sizes[j]) for i in got[b] for j in got[b] if i < j)):
+                            d = sum(y) - x
+                            assert not (0 < d <= 100 - fill[a] and d > fill[b] - fill[a])
+    assert emptied > 60
+
+
+def test_two_for_one():
+    sizes = [50, 40, 30, 29, 31]  # 50 + 40 takes 30 + 29 for 50
+    got = pack.improve([[0, 1], [2, 3, 4]], sizes, 99)
+    assert sorted(sum(sizes[i] for i in b) for b in got) == [81, 99]
+
+
 def test_fill_containers(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(1, 3000)) for i in range(400)] + [(400, 0), (401, None), (402, -5), (None, 7), (5, 10), (403, 4096)]
@@ -61,7 +88,7 @@ def test_pivot_keeps_the_sum():
     for _ in range(200):
         rest = rng.random(rng.integers(1, 40))
         want = rest.sum()
-        out, held = mix.pivot(np.arange(len(rest)), rest, rng.random(len(rest)))
+        out, held = mix.pivot(rest, rng.random((8, len(rest))))
         assert out.sum() + (rest[held] if held >= 0 else 0) == pytest.approx(want)
 
 
@@ -71,7 +98,7 @@ def test_pivot_keeps_the_chances():
     hits = np.zeros(5)
     for _ in range(20_000):
         rest = p.copy()
-        out, held = mix.pivot(np.arange(5), rest, rng.random(5))
+        out, held = mix.pivot(rest, rng.random((5, 5)))
         if held >= 0:
             out[held] += rng.random() < rest[held]
         hits += out
