@@ -1,10 +1,10 @@
 """Problem 2: HTML, Markdown, wiki and LaTeX markup, also one inside another, to clean text that keeps its structure.
 
-One pass over tags, fences and verbatim blocks (leftmost first) turns a text into a flow of lines; formulas and inline code
-are lifted out of the flow; the lines give headings and list items. Content nodes are chosen by tag-path ratios: text length
-and punctuation are summed per root-to-leaf tag path, fused, smoothed along the page and thresholded, and a region (a child of
-the page's body) without any chosen node is dropped as boilerplate beside one that has some; regions with headings, items or
-formulas, and those of scripts that write no marks, stay in any case.
+One pass over tags, fences and verbatim blocks (leftmost first) turns a text into a flow of leaves, the runs of text between block
+tags. Leaves are chosen by tag-path ratios: text length and punctuation outside links are summed per root-to-leaf tag path, fused to a
+score, smoothed over paths a small edit apart and held against a threshold taken from the page. Leaves of the paths chosen, and those
+that carry structure of their own (headings, items, cells, formulas, scripts that write no marks) unless they are nothing but links,
+alone feed the next pass: its lines give headings and list items, formulas and inline code are lifted out.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ _LIFT = re.compile(
     r"(?P<tick>`+)(?P<code>[^`\n](?:[^`]*[^`])?)(?P=tick)(?!`)"
     r"|\\begin\{(?P<env>equation|align|displaymath|gather|multline|eqnarray|math)(?P<star>\*?)\}(?P<body>.*?)(?:\\end\{(?P=env)(?P=star)\}|\Z)"
     r"|\\\[(?P<display>.*?)(?:\\\]|\Z)|\\\((?P<inline>.*?)(?:\\\)|\Z)"
-    r"|(?<!\\)\$\$(?P<dollars>[^$]*)(?:\$\$|\Z)|(?<![\\$\w])\$(?P<dollar>[^\s$](?:[^$\n]|\n(?!\s*\n)){0,240}?(?<![\s\\]))\$(?![\d$])",
+    r"|(?<!\\)\$\$(?P<dollars>[^$]*)(?:\$\$|\Z)|(?<![\\$\w])\$(?P<dollar>[^\s$](?:[^$\n]|\n(?!\s*\n))*?(?<![\s\\]))\$(?![\d$])",
     re.S,
 )
 _MARKS = re.compile(
@@ -97,6 +97,16 @@ class Page(NamedTuple):
     lang: str | None  # of the html element
 
 
+class _Leaf:
+    """A run of text between block tags: its path, its places in the flow, and what it holds in and outside links."""
+
+    __slots__ = ("path", "places", "length", "punct", "linked")
+
+    def __init__(self, path: tuple[str, ...]) -> None:
+        self.path, self.places = path, []
+        self.length = self.punct = self.linked = 0
+
+
 class _Flow:
     def __init__(self) -> None:
         self.out: list[str] = []
@@ -104,31 +114,46 @@ class _Flow:
         self.formulas: list[str] = []
         self.markup = False
         self.lang: str | None = None
-        #: Text nodes: path, region, length, punctuation, place in out.
-        self.nodes: list[tuple[str, int, int, int, int]] = []
-        #: Regions with a heading or list item.
-        self.kept: set[int] = set()
+        self.leaves: list[_Leaf] = []
+        self.open: _Leaf | None = None
+        self.link = False  # within a link; one left open ends with its block
+
+    def add(self, text: str, path: list[str]) -> None:
+        leaf = self.open
+        if leaf is None:
+            leaf = self.open = _Leaf(tuple(path))
+            self.leaves.append(leaf)
+        leaf.places.append(len(self.out))
+        size = len(text) - text.count(" ") - text.count("\n")
+        if self.link:
+            leaf.linked += size
+        else:
+            leaf.length += size
+            leaf.punct += len(_PUNCT.findall(text))
+        self.out.append(text)
 
 
 _LANG = re.compile(r"\blang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCT = re.compile(r"[,.;:!?،؛؟।。，；：！？、]")
 
 
-def _text(flow: _Flow, text: str, path: list[str], region: int, depth: int) -> None:
+#: Escapes of the ampersand that only hide another reference, however many.
+_NESTED = re.compile(r"&(?:amp;)+(?=#?[A-Za-z0-9]+;)")
+
+
+def _text(flow: _Flow, text: str, path: list[str], opened: bool) -> None:
     if "&" in text:
-        plain = unescape(text)
+        plain = unescape(_NESTED.sub("&", text) if "&amp;" in text else text)
         if plain != text:
             flow.markup = True
-            if depth < 2 and "<" in plain and (m := _SCAN.search(plain)) and (m["tag"] or "").lower() in _BLOCK | _INLINE:
-                _tags(flow, plain, depth + 1, tuple(path), region)
+            if "<" in plain and (m := _SCAN.search(plain)) and (m["tag"] or "").lower() in _BLOCK | _INLINE:
+                _tags(flow, plain, tuple(path), True)
                 return
             text = plain
-    if not text.isspace():
-        flow.nodes.append(("/".join(path), region, len(text.strip()), len(_PUNCT.findall(text)), len(flow.out)))
-    flow.out.append(text)
+    flow.add(text, path)
 
 
-def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (), region: int = 0) -> None:
+def _tags(flow: _Flow, text: str, within: tuple[str, ...] = (), opened: bool = False) -> None:
     pos, path, n = 0, list(within), len(text)
     skip: str | None = None
     level = 0
@@ -154,11 +179,11 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
             tag = tag.lower()
             if tag not in _BLOCK and tag not in _INLINE:
                 if not skip:
-                    _text(flow, text[pos:end], path, region, depth)
+                    _text(flow, text[pos:end], path, opened)
                 pos = end
                 continue
         if not skip and start > pos:
-            _text(flow, text[pos:start], path, region, depth)
+            _text(flow, text[pos:start], path, opened)
         flow.markup = True
         pos = end
         if tag is None:
@@ -169,6 +194,7 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
                 close = re.compile(rf"^[ \t]*{mark[0]}{{{len(mark)},}}[ \t]*$", re.M).search(text, end)
                 flow.codes.append(text[end : close.start() if close else n].strip("\n"))
                 flow.out.append(f"\n\n{CODE}\n\n")
+                flow.open = None
                 pos = close.end() if close else n
             elif m["env"] and not skip:
                 close = text.find(f"\\end{{{m['env']}}}", end)
@@ -186,7 +212,11 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
                 skip = None
                 pos = start
             continue
+        if tag in _BLOCK and tag != "br":
+            flow.open, flow.link = None, False
         if closing:
+            if tag == "a":
+                flow.link = False
             if tag in path[len(within) :]:
                 while path.pop() != tag:
                     pass
@@ -212,34 +242,32 @@ def _tags(flow: _Flow, text: str, depth: int = 0, within: tuple[str, ...] = (),
             pos = close.end() if close else n
             if tag == "math":
                 flow.formulas.append(html.unescape(re.sub(r"<[^<>]*>", "", inner)).strip())
-                flow.out.append(FORMULA)
+                flow.add(FORMULA, path)
             else:
                 flow.codes.append(html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", inner)).strip("\n"))
                 flow.out.append(f"\n\n{CODE}\n\n")
             continue
         if tag in _INLINE:
+            if tag == "a":
+                flow.link = "href" in attrs.lower()
             if tag == "ref":
                 close = re.compile(r"</ref\s*>", re.I).search(text, end)
                 pos = close.end() if close and not attrs.endswith("/") else end
             continue
-        if not depth and (not path or path[-1] == "body"):
-            region += 1
         if tag not in _VOID:
             if tag == "li" and "li" in path and path[-1] == "li" or tag == "p" and path and path[-1] == "p":
                 path.pop()
             path.append(tag)
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             flow.out.append(f"\n\n{H}")
-            flow.kept.add(region)
         elif tag == "li":
             flow.out.append(f"\n\n{LI}")
-            flow.kept.add(region)
         elif tag == "br":
             flow.out.append(f"\n{TEXT}")
         else:
             flow.out.append("\n\n")
     if not skip and pos < n:
-        _text(flow, text[pos:], path, region, depth)
+        _text(flow, text[pos:], path, opened)
 
 
 #: Scripts that write no marks between sentences: Thai, Lao, Burmese and Khmer.
@@ -256,29 +284,95 @@ def _structured(text: str) -> bool:
     return any(_ITEM.match(x) or _HASH.match(x) or _WIKI_HEADING.match(x) or _LATEX_LINE.match(x) for x in lines)
 
 
-def _ratios(flow: _Flow) -> set[int]:
-    """Regions without any content node, where another region has some: by tag-path ratios."""
-    nodes = flow.nodes
-    regions = {r for _, r, _, _, _ in nodes}
-    if len(regions) < 2 or not any(p.startswith(("body/", "html/body/", "html/")) for p, *_ in nodes):
-        return set()
-    sums: dict[str, list[int]] = {}
-    for path, _, length, punct, _ in nodes:
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += length
-        s[1] += punct
-        s[2] += 1
-    fused = [math.sqrt(sums[p][0] / sums[p][2]) * math.log1p(sums[p][1] / sums[p][2]) for p, *_ in nodes]
-    kernel = (0.06, 0.24, 0.4, 0.24, 0.06)
-    k = len(fused)
-    smooth = [sum(w * fused[min(max(i + d, 0), k - 1)] for d, w in zip((-2, -1, 0, 1, 2), kernel)) for i in range(k)]
-    mean = sum(smooth) / k
-    floor = mean - math.sqrt(sum((x - mean) ** 2 for x in smooth) / k)
-    chosen = {nodes[i][1] for i in range(k) if smooth[i] >= max(floor, 1e-9) and sums[nodes[i][0]][1]}
-    if not chosen:
-        return set()
-    drop = regions - chosen - flow.kept
-    return drop - {r for _, r, _, _, at in nodes if r in drop and (_UNPUNCTUATED.search(flow.out[at]) or _structured(flow.out[at]))}
+#: Leaves of these elements carry structure whatever their length: items, cells, terms, captions, formulas.
+_OWN = frozenset("li dd dt td th caption figcaption summary option legend math".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A path is content from this share of the page's mean score, weighted by length.
+SHARE = 0.4
+#: Weights of paths one and two edits away in the smoothing.
+NEAR = (0.135, 0.018)
+
+
+def _apart(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """Edits between two tag paths, up to 3, which stands for more."""
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return min(3, max(len(a), len(b)) - head - tail)
+
+
+def path_scores(leaves: list[_Leaf]) -> dict[tuple[str, ...], float]:
+    """Tag-path ratios: the log of mean length times mean punctuation of a path's leaves, and of what these vary by, smoothed."""
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for x in leaves:
+        s = sums.setdefault(x.path, [0, 0, 0, 0, 0])
+        for k, v in enumerate((1, x.length, x.punct, x.length * x.length, x.punct * x.punct)):
+            s[k] += v
+    raw = {}
+    for path, (n, length, punct, length2, punct2) in sums.items():
+        vary = math.sqrt(max(0.0, length2 / n - (length / n) ** 2) * max(0.0, punct2 / n - (punct / n) ** 2))
+        raw[path] = math.log1p(length / n * punct / n) + 0.1 * math.log1p(vary)
+    # only paths of nearly the same length can be near each other
+    by: dict[int, list[tuple[str, ...]]] = {}
+    for path in raw:
+        by.setdefault(len(path), []).append(path)
+    out = {}
+    for path, own in raw.items():
+        total, weight = own, 1.0
+        for size in range(len(path) - 2, len(path) + 3):
+            for other in by.get(size, ()):
+                if other is not path and (d := _apart(path, other)) <= 2:
+                    total += NEAR[d - 1] * raw[other]
+                    weight += NEAR[d - 1]
+        out[path] = total / weight
+    return out
+
+
+def unchosen(flow: _Flow) -> list[_Leaf]:
+    """Leaves that aren't content. A heading goes with its section: it is left out if all leaves up to the next heading are."""
+    leaves = [x for x in flow.leaves if x.length or x.linked]
+    if len(leaves) < 2:
+        return []
+    scores = path_scores(leaves)
+    size = sum(x.length for x in leaves)
+    floor = SHARE * sum(scores[x.path] * x.length for x in leaves) / max(1, size)
+    poor = {path for path, score in scores.items() if score < floor}
+    if not poor:
+        return []
+
+    def kept(x: _Leaf) -> bool:
+        if x.path not in poor or any(FORMULA in flow.out[i] for i in x.places):
+            return True
+        links = x.linked > 0 and x.length <= x.linked // 4
+        if links:
+            return False
+        if not _OWN.isdisjoint(x.path):
+            return True
+        return any(_UNPUNCTUATED.search(flow.out[i]) for i in x.places) or _structured("".join(flow.out[i] for i in x.places))
+
+    out: list[_Leaf] = []
+    head: list[_Leaf] = []
+    section: list[bool] = []
+
+    def close() -> None:
+        if section and not any(section):
+            out.extend(x for x in head if not any(FORMULA in flow.out[i] for i in x.places))
+
+    for x in leaves:
+        if not _HEADINGS.isdisjoint(x.path):
+            if section:
+                close()
+                head, section = [], []
+            head.append(x)
+        else:
+            section.append(keep := kept(x))
+            if not keep:
+                out.append(x)
+    close()
+    return out
 
 
 def _wiki(text: str) -> bool:
@@ -295,10 +389,14 @@ def parse(text: str | None) -> Page:
     wiki = "[[" in text or "'''" in text or "{{" in text or "==" in text and _wiki(text)
     if "<" in text or "&" in text or "```" in text or "~~~" in text or "\\begin{" in text:
         _tags(flow, text)
-        if drop := _ratios(flow):
-            for _, region, _, _, at in flow.nodes:
-                if region in drop:
-                    flow.out[at] = " "
+        for leaf in unchosen(flow):
+            for at in leaf.places:
+                flow.out[at] = " "
+            at = leaf.places[0] - 1  # the mark of a heading or an item goes with its text
+            while at > 0 and flow.out[at].isspace():
+                at -= 1
+            if at >= 0 and flow.out[at].endswith((H, LI)):
+                flow.out[at] = "\n\n"
         text = "".join(flow.out)
     if "$" in text or "`" in text or "\\" in text:
         if FORMULA in text:  # keep the order of formulas lifted before

@@ -175,6 +175,58 @@ def test_boilerplate_by_tag_paths():
     assert [b for b in page.blocks if b == ("text", "x")] == [] and len(page.blocks) == 9
 
 
+BOILERPLATE = {
+    "menu": "<div><ul><li><a href=/>Home</a></li><li><a href=/b>Books</a><li><a href=/c>Contact</a></ul></div>",
+    "farm": "<div><h3>More</h3><table><tr><td><a href=1>Cheap maps</a></td><td><a href=2>Old clocks</a></td></tr></table></div>",
+    "footer": "<div>© 2024 Press | <a href=i>Imprint</a> | <a href=t>Terms</a></div>",
+}
+
+
+@pytest.mark.parametrize("part", BOILERPLATE)
+def test_tag_paths_choose_content(part, monkeypatch):
+    """Menus, link farms and footers without tags of their own go, the rest stays; without the ratios they all stay."""
+    body = "<h1>Title</h1>" + "".join(f"<p>A long sentence number {i}, with commas, and a <a href=x>link</a>, is content.</p>" for i in range(5)) + "<ul><li>one<li>see <a href=y>two</a></ul><table><tr><td>7</td></tr></table><p>\\(x\\)</p>"
+    alone = markup.parse(f"<main>{body}</main>").blocks
+    for page in (f"<body>{BOILERPLATE[part]}<main>{body}</main></body>", f"<body><main>{body}</main>{BOILERPLATE[part]}</body>", f"{BOILERPLATE[part]}<main>{body}</main>"):
+        assert markup.parse(page).blocks == alone
+        with monkeypatch.context() as m:
+            m.setattr(markup, "unchosen", lambda flow: [])
+            assert markup.parse(page).blocks != alone
+    assert markup.parse(BOILERPLATE[part]).blocks  # with nothing else, it is what the page holds
+
+
+def test_path_scores_against_brute_force():
+    rng = random.Random(4)
+    leaves = []
+    for _ in range(60):
+        x = markup._Leaf(tuple(rng.choice(["body", "main", "div", "p", "li"]) for _ in range(rng.randrange(1, 5))))
+        x.length, x.punct = rng.randrange(200), rng.randrange(6)
+        leaves.append(x)
+
+    def edits(a, b):  # one run of tags replaced by another
+        return min(max(len(a) - i - j, len(b) - i - j) for i in range(min(len(a), len(b)) + 1) for j in range(min(len(a), len(b)) - i + 1) if a[:i] == b[:i] and (j == 0 or a[-j:] == b[-j:]))
+
+    paths = sorted({x.path for x in leaves})
+    raw = {}
+    for path in paths:
+        own = [x for x in leaves if x.path == path]
+        length, punct = np.array([x.length for x in own]), np.array([x.punct for x in own])
+        raw[path] = math.log1p(length.mean() * punct.mean()) + 0.1 * math.log1p(length.std() * punct.std())
+    got = markup.path_scores(leaves)
+    for path in paths:
+        w = {q: 1.0 if q == path else markup.NEAR[edits(path, q) - 1] for q in paths if edits(path, q) <= 2}
+        assert got[path] == pytest.approx(sum(raw[q] * v for q, v in w.items()) / sum(w.values()))
+
+
+def test_formulas_of_any_length_and_nested_escapes():
+    long = "x+" * 400 + "y"
+    assert kinds(f"so ${long}$ holds")[1] == ["formula"] and kinds(f"so ${long}\n\n$ holds")[1] == []
+    text = "<h3>Shown</h3>"
+    for _ in range(6):
+        text = html.escape(text)
+        assert kinds(text) == (True, ["heading"])
+
+
 @pytest.mark.parametrize("part", ["<h1>Title</h1>", "<ul><li>one</ul>", "<div>$x+y$</div>", "<div>- one</div>", "<div>## Title</div>", "<div>นักแปลอธิบาย</div>", "<p>The end</p>", "<div>Title\n=====</div>"])
 def test_tag_paths_keep_content(part):
     body = "".join(f"<p>A long sentence number {i}, with commas, and words enough to be content.</p>" for i in range(9))
