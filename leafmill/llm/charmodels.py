@@ -23,6 +23,8 @@ OPEN = 20_000
 KEPT = 200_000
 #: Runs of letters and marks: anything but white space, digits, ASCII signs and general punctuation.
 WORD = re.compile(r"[^\s\d!-@\[-`{-~«»“”„‚‘’‹›…—–‐-―、。，！？：；（）「」『』【】《》¡¿।॥؟،؛·•ㆍ  ​-‏⁠﻿­]+")
+#: Folds that are held out in turn.
+FOLDS = 3
 _BOS, _EOS = 2, 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,8 +64,14 @@ class CharModels:
         self.contexts: list[np.ndarray] = []
         self.backoffs: list[np.ndarray] = []
         self.unseen = np.zeros(len(langs), dtype=np.float32)
-        #: Largest nats per character accepted, by language.
-        self.limits = np.full(len(langs), np.inf, dtype=np.float32)
+        #: What held-out text costs, by language: mean nats a character, its variance between texts and within them for one character,
+        #: and how many standard deviations above the mean are still accepted.
+        self.mean, self.between, self.within = (np.ones(len(langs)) for _ in range(3))
+        self.reach = np.full(len(langs), 1e9)
+        #: Shares of held-out text of the language rejected, and of other languages' text accepted as it.
+        self.false_rejects, self.false_accepts = np.zeros(len(langs)), np.zeros(len(langs))
+        #: By what the scores, over the root of the length, are divided for a confidence.
+        self.temper = 1.0
         self.seen: frozenset[str] = frozenset()
         self.alphabets: dict[str, frozenset[str]] = {}
         self.key = ""
@@ -81,24 +89,14 @@ class CharModels:
         self._memory = _LIVE[self.key] if self.key else _Memory(len(self.langs))
 
     @staticmethod
-    def fit(samples: Iterable[tuple[str, str]]) -> "CharModels":
-        """samples: (language, clean text)."""
+    def fit(samples: Iterable[tuple[str, str]], calibrate: bool = True) -> "CharModels":
+        """samples: (language, clean text). Without calibration nothing is rejected."""
         texts: dict[str, list[str]] = defaultdict(list)
         for lang, text in sorted((a, b) for a, b in samples if a and b):
             texts[lang].append(unicodedata.normalize("NFC", text))
         models = CharModels._fit(texts)
-        # limits from held-out folds
-        folds = 3
-        for k, lang in enumerate(models.langs):
-            models.limits[k] = 0.0
-        for fold in range(folds):
-            part = CharModels._fit({a: [t for i, t in enumerate(b) if i % folds != fold] or b for a, b in texts.items()})
-            for k, lang in enumerate(models.langs):
-                for i, t in enumerate(texts[lang]):
-                    if i % folds == fold and (own := words(t)):
-                        s, n = part.score([own])
-                        models.limits[k] = max(models.limits[k], -s[0, k] / max(1, n[0]))
-        models.limits += 1.0
+        if calibrate:
+            models._calibrate(texts)
         digest = hashlib.sha256("\0".join(models.langs).encode())
         for arrays in (models.grams, models.logs):
             for x in arrays:
@@ -106,6 +104,69 @@ class CharModels:
         models.key = digest.hexdigest()
         return models
 
+    def _calibrate(self, texts: dict[str, list[str]]) -> None:
+        """Rejection limits and confidence from held-out folds. A fold's texts are scored by models of the others: under their own
+        language, and, that one left out, under the best of the rest, which is what text of an unknown language gets."""
+        k = len(self.langs)
+        own, other, sharp = [[] for _ in range(k)], [[] for _ in range(k)], []
+        for fold in range(FOLDS):
+            part = CharModels._fit({a: [t for i, t in enumerate(b) if i % FOLDS != fold] or b for a, b in texts.items()})
+            held = [(at, w) for at, lang in enumerate(self.langs) for i, t in enumerate(texts[lang]) if i % FOLDS == fold and (w := words(t))]
+            if not held:
+                continue
+            at = np.array([x[0] for x in held])
+            s, n = part.score([x[1] for x in held])
+            row = np.arange(len(at))
+            sharp.append((s, n, at))
+            rest = s.copy()
+            rest[row, at] = -np.inf
+            best = rest.argmax(axis=1)
+            for i in range(len(at)):
+                own[at[i]].append((-s[i, at[i]] / n[i], n[i]))
+                if k > 1:
+                    other[best[i]].append((-s[i, best[i]] / n[i], n[i]))
+        for lang in range(k):
+            if not own[lang]:
+                continue
+            x, n = np.array(own[lang]).T
+            self.mean[lang] = mean = np.average(x, weights=n)
+            # (x - mean)² is about between + within / n
+            a = np.stack([np.ones_like(n), 1 / n], axis=1)
+            self.between[lang], self.within[lang] = np.maximum(np.linalg.lstsq(a, (x - mean) ** 2, rcond=None)[0] if len(x) > 2 else (0.0, 0.0), [(0.05 * mean) ** 2, 0.25])
+            z = (x - mean) / np.sqrt(self.between[lang] + self.within[lang] / n)
+            top = max(z.max(), 1.0)
+            self.reach[lang] = 4 * top  # far beyond what was held out nothing is accepted
+            if other[lang]:
+                y, m = np.array(other[lang]).T
+                far = (y - mean) / np.sqrt(self.between[lang] + self.within[lang] / m)
+                # where the shares of own text rejected and of other text accepted are least in sum, in the middle of the widest gap
+                steps = np.unique(np.concatenate([z, far, [4 * top]]))
+                wrong = np.array([np.mean(z > x) + np.mean(far <= x) for x in steps[:-1]])
+                least = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+                at = least[np.diff(steps)[least].argmax()]
+                self.reach[lang] = min(4 * top, (steps[at] + steps[at + 1]) / 2)
+                self.false_accepts[lang] = np.mean(far <= self.reach[lang])
+            self.false_rejects[lang] = np.mean(z > self.reach[lang])
+        if sharp:
+            s, n, at = (np.concatenate([x[i] for x in sharp]) for i in range(3))
+            scaled = (s - s.max(axis=1, keepdims=True)) / np.sqrt(n)[:, None]
+
+            def loss(temper: float) -> float:
+                p = scaled / temper
+                return float(np.mean(np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(at)), at]))
+
+            self.temper = min((0.05 * 1.25**i for i in range(24)), key=loss)
+
+    def accepted(self, lang: np.ndarray | int, n: np.ndarray | float) -> np.ndarray:
+        """Most nats a text of n characters may cost to be of the language."""
+        n = np.maximum(n, 1.0)
+        return n * (self.mean[lang] + self.reach[lang] * np.sqrt(self.between[lang] + self.within[lang] / n))
+
+    def confidence(self, score: np.ndarray, n: float) -> np.ndarray:
+        """Share of each language, from the scores of one text of n characters."""
+        p = np.exp((score - score.max()) / (np.sqrt(max(1.0, n)) * self.temper))
+        return p / p.sum()
+
     @staticmethod
     def _fit(texts: dict[str, list[str]]) -> "CharModels":
         langs = sorted(texts)

@@ -1,13 +1,13 @@
 """Problem 1: the languages of a text and of its stretches, with a confidence.
 
 A text is first repaired and freed of markup, then cut in sentences. Each sentence gets the language whose character model
-(interpolated Kneser-Ney) gives the lowest cross-entropy a character, unless all are over the limits that held-out samples set.
+(interpolated Kneser-Ney) gives the lowest cross-entropy a character, unless that is over the limit
+for its length, which held-out text of the language and of left-out languages sets.
 A stretch is a run of sentences in one language; a sentence the models can't tell takes the language of its surroundings.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -25,10 +25,6 @@ from .rough import rough_sentences
 
 #: Nats between the best and the second language from which a sentence counts as sure.
 SURE = 6.0
-#: A held-out limit is stretched so, as whole domains are missing in the samples.
-STRETCH = 2.5
-#: No language is told beyond so many nats a character, near what a character never seen costs.
-MOST = 8.5
 #: Sentences from which a language is present beside another.
 LEAST = 2
 #: A sentence counts for another than the text's main language if it fits that by so many nats a character better.
@@ -73,14 +69,13 @@ class Identifier:
     def __init__(self, models: CharModels, clean: CharModels | None = None) -> None:
         """models tell languages; clean, those of the clean samples alone, tell garbled text."""
         self.models = models
-        self.limits = np.minimum(models.limits * STRETCH, MOST)
         self.repairer = Repairer(clean or models)
 
     def read(self, texts: Sequence[str | None], repair: Sequence[bool]) -> list[tuple[list[str], str | None, np.ndarray, np.ndarray]]:
         """Of each text its sentences, the page's lang, and the sentences' scores and sizes. Where asked, a text that looks garbled in
         its own language is repaired and read again."""
         cut = [self.sentences(t) if t else ([], None) for t in texts]
-        scores = self.scored([c[0] for c in cut])
+        scores = self._parted(cut, self.scored([c[0] for c in cut]))
         again: dict[int, str] = {}
         langs = self.models.langs
         for i, (t, r) in enumerate(zip(texts, repair)):
@@ -96,10 +91,43 @@ class Identifier:
                     again[i] = fixed
         if again:
             new = [self.sentences(t) for t in again.values()]
-            for i, c, x in zip(again, new, self.scored([c[0] for c in new])):
+            for i, c, x in zip(again, new, self._parted(new, self.scored([c[0] for c in new]))):
                 cut[i], scores[i] = c, x
         return [(*c, *x) for c, x in zip(cut, scores)]
 
+    def _parted(self, cut: list[tuple[list[str], str | None]], scores: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Parts sentences that are beyond every limit as a whole where two languages meet in them, as a heading without a mark runs into
+        the sentence after it: at the word that leaves two parts, each within the limit of its own language. cut is changed in place."""
+        if len(self.models.langs) < 2:
+            return scores
+        out = []
+        for (sentences, _), (s, n) in zip(cut, scores):
+            if len(n):
+                top = s.argmax(axis=1)
+                bad = np.flatnonzero((n > 0) & (-s[np.arange(len(n)), top] > self.models.accepted(top, n)))
+                for i in bad[::-1]:
+                    if parts := self._part(sentences[i]):
+                        texts, ps, pn = parts
+                        sentences[i : i + 1] = texts
+                        s, n = np.concatenate([s[:i], ps, s[i + 1 :]]), np.concatenate([n[:i], pn, n[i + 1 :]])
+            out.append((s, n))
+        return out
+
+    def _part(self, sentence: str) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        found = list(WORD.finditer(sentence))
+        if len(found) < 2:
+            return None
+        s, n = self.models.each([m[0].lower() for m in found])
+        head, size = np.cumsum(s, axis=0, dtype=np.float64)[:-1], np.cumsum(n)[:-1]
+        rest, left = s.sum(axis=0) - head, n.sum() - size
+        at = int((head.max(axis=1) + rest.max(axis=1)).argmax())
+        scores, sizes = np.stack([head[at], rest[at]]), np.array([size[at], left[at]], dtype=np.float64)
+        top = scores.argmax(axis=1)
+        if top[0] == top[1] or (-scores[[0, 1], top] > self.models.accepted(top, sizes)).any():
+            return None
+        place = found[at + 1].start()
+        return [sentence[:place], sentence[place:]], scores, sizes
+
     def sentences(self, text: str) -> tuple[list[str], str | None]:
         """Sentences, headings and items of the content; the html element's lang."""
         lang = None
@@ -111,10 +139,7 @@ class Identifier:
             blocks = [" ".join(b.split("\n")) for b in re.split(r"\n\s*\n", text)]
         out = []
         for b in blocks:
-            if len(b) > 40 or "." in b or not b.isascii():
-                out += rough_sentences(b)
-            else:
-                out.append(b)
+            out += rough_sentences(b)
         return out, lang
 
     def scored(self, texts: Sequence[Sequence[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -152,7 +177,7 @@ class Identifier:
             top, best, gap = np.where(first, order[:, 0], order[:, 1]), pair.max(axis=1), np.abs(pair[:, 0] - pair[:, 1])
         else:
             top, best, gap = np.zeros(len(n), int), s[:, 0], np.full(len(n), np.inf)
-        sure = (gap >= SURE) & (n > 3) & (-best <= self.limits[top] * n)
+        sure = (gap >= SURE) & (n > 3) & (-best <= self.models.accepted(top, n))
         out, at = [], 0
         for own_s, own_n in scores:
             end = at + len(own_n)
@@ -160,7 +185,7 @@ class Identifier:
             if not len(own):
                 whole = own_s.sum(axis=0) if len(own_n) else None
                 k = int(whole.argmax()) if whole is not None else 0
-                out.append([langs[k]] if whole is not None and own_n.any() and -whole[k] <= self.limits[k] * own_n.sum() else [])
+                out.append([langs[k]] if whole is not None and own_n.any() and -whole[k] <= self.models.accepted(k, own_n.sum()) else [])
             elif (own == own[0]).all():
                 out.append([langs[own[0]]])
             else:
@@ -177,7 +202,8 @@ class Identifier:
         return out
 
     def stretches(self, sentences: Sequence[str], s: np.ndarray, n: np.ndarray) -> list[Stretch]:
-        """Runs of sentences in one language. confidence: the language's share of the likelihood, tempered by length."""
+        """Runs of sentences in one language. confidence: the language's share of the likelihood, tempered by
+        length and as held-out text shows; 'und' where the cost is beyond the language's limit at that length."""
         langs = self.models.langs
         if not len(n) or not n.any() or not langs:
             return []
@@ -199,12 +225,10 @@ class Identifier:
         out = []
         for k, at in runs:
             score, size = s[at].sum(axis=0), n[at].sum()
-            if size and -score[k] > self.limits[k] * size:
+            if size and -score[k] > self.models.accepted(k, size):
                 out.append(Stretch("und", 0.0, len(at), "".join(sentences[i] for i in at)))
                 continue
-            x = (score - score.max()) / math.sqrt(max(1.0, size))
-            p = np.exp(x)
-            out.append(Stretch(langs[k], float(p[k] / p.sum()), len(at), "".join(sentences[i] for i in at)))
+            out.append(Stretch(langs[k], float(self.models.confidence(score, size)[k]), len(at), "".join(sentences[i] for i in at)))
         return out
 
 
@@ -223,7 +247,7 @@ def _records(spark, sf_dir: str) -> DataFrame:
 def refined(spark, sf_dir: str) -> Identifier:
     """Models of the clean samples, fitted again with the sure sentences of a bounded sample of labelled documents: about LABELLED of
     each language, chosen by a hash of their ids, so the choice is the same in every run. Only the counts are over all rows."""
-    clean = fitted(spark, sf_dir)
+    clean = fitted(spark, sf_dir)  # reads the labelled sample, where all that is sure is wanted
     samples = [(r[0], r[1]) for r in table(spark, sf_dir, "language_samples", "lang", "text").where("text is not null and lang is not null").limit(TRAIN_ROWS).collect()]
     names = [c for c, to in [*_CODES.items(), *((x, x) for x in clean.langs)] if to in clean.langs]
     code = F.lower(F.substring_index(F.translate(F.trim("lang"), "_", "-"), "-", 1))
@@ -233,7 +257,7 @@ def refined(spark, sf_dir: str) -> Identifier:
     for c, k in counts.items():
         by[_CODES.get(c, c)] = by.get(_CODES.get(c, c), 0) + k
     if not by:
-        return Identifier(clean)
+        return Identifier(fitted(spark, sf_dir, calibrate=True))
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0).alias("u")
     share = F.create_map(*[F.lit(x) for c in counts for x in (c, min(1.0, LABELLED / by[_CODES.get(c, c)]))])
     chosen = rows.where(u < share[F.col("code")]).select("doc_id", "code", "text").limit(4 * LABELLED * len(clean.langs)).collect()
@@ -243,9 +267,7 @@ def refined(spark, sf_dir: str) -> Identifier:
         for text, x, size in zip(sentences, s, n):
             if size > 8 and x.argmax() == k and x[k] - np.partition(x, -2)[-2] >= 2 * SURE:
                 samples.append((clean.langs[k], text))
-    models = CharModels.fit(samples)
-    models.limits = np.maximum(models.limits, clean.limits)
-    return Identifier(models, clean)
+    return Identifier(CharModels.fit(samples), clean)
 
 
 def label_cases(df: DataFrame, own: Identifier, out: str = "langs") -> DataFrame:

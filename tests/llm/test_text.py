@@ -93,12 +93,15 @@ def test_label_code(label, code):
     assert langid.label_code(label) == code
 
 
-def present(models, text):
-    own = langid.Identifier(models)
+def present_in(own, text):
     read = own.read([text], [True])
     return own.present_all([read[0][2:]])[0]
 
 
+def present(models, text):
+    return present_in(langid.Identifier(models), text)
+
+
 def test_two_languages(models):
     en = "The harbour museum explains the glossary of terms. The second reader keeps the third edition."
     ro = "Al doilea cititor explică lista surselor după o lungă întârziere. Bibliotecara rescrie lista surselor înainte de termen."
@@ -121,6 +124,44 @@ def test_stretches(models):
     assert [x.lang for x in own.stretches(cut, s, n)] == ["und"]
 
 
+def test_rejection_of_left_out_languages(samples):
+    """Each language is left out in turn: most of its text is rejected, most held-out text of the others is accepted."""
+    by = {}
+    for a, t in samples:
+        by.setdefault(a, []).append(t)
+    told = kept = right = every = 0
+    gaps = []
+    for out in ("pt", "en", "ru", "ja"):
+        m = CharModels.fit([(a, t) for a, ts in by.items() if a != out for t in ts[:-3]])
+        for a, ts in by.items():
+            for t in ts[-3:] if a != out else ts:
+                s, n = m.score([words(t)])
+                k = int(s[0].argmax())
+                accepted = -s[0, k] <= m.accepted(k, n[0])
+                if a == out:
+                    told, every = told + accepted, every + 1
+                else:
+                    kept, right = kept + accepted, right + 1
+                    gaps.append((m.confidence(s[0], n[0])[k], m.langs[k] == a))
+    assert told <= 0.25 * every, (told, every)
+    assert kept >= 0.85 * right, (kept, right)
+    assert abs(np.mean([c for c, _ in gaps]) - np.mean([r for _, r in gaps])) < 0.05  # confidence against accuracy
+
+
+@pytest.mark.parametrize("text", ["zxqv wkjq pqzx bvnm qwrt zzkx.", "Vanha kirjasto säilyttää käsikirjoituksen hiljaisessa huoneessa.", "Den gamle oversætter sammenligner den tredje udgave af bogen.", "Stará tiskárna sbírá každou poznámku na okraji."])
+def test_unknown_languages_are_rejected(spark, text):
+    own = langid.refined(spark, "/root/testdata/sf0.01")
+    assert present_in(own, text) == []
+
+
+def test_two_languages_in_a_sentence(spark):
+    """A heading without a mark runs into a sentence of another language: both are told."""
+    own = langid.refined(spark, "/root/testdata/sf0.01")
+    (cut, _, s, n), = own.read(["Tânărul autor adună a treia ediție Последняя глава измеряет список источников в тихой комнате."], [False])
+    assert [x.lang for x in own.stretches(cut, s, n)] == ["ro", "ru"]
+    assert len(own.sentences("Nein! Warum? Ja, sofort jetzt!")[0]) == 3
+
+
 def test_label_cases_edges(spark, models):
     en = "The harbour museum explains the glossary of terms. The second reader keeps it."
     rows = [("documents.lang", "de", en, 1), ("documents.lang", "en", en, 2), ("documents.lang", None, en, 3), ("documents.lang", "en", None, 4), ("documents.lang", "en", "", 5), ("documents.lang", None, "123 456", 6), ("documents.lang", "de", en, 1), ("documents.lang", "en", en * 4000, 7), (None, None, None, None)]
