@@ -134,17 +134,18 @@ class CharModels:
             a = np.stack([np.ones_like(n), 1 / n], axis=1)
             self.between[lang], self.within[lang] = np.maximum(np.linalg.lstsq(a, (x - mean) ** 2, rcond=None)[0] if len(x) > 2 else (0.0, 0.0), [(0.05 * mean) ** 2, 0.25])
             z = (x - mean) / np.sqrt(self.between[lang] + self.within[lang] / n)
-            top = max(z.max(), 1.0)
-            self.reach[lang] = 4 * top  # far beyond what was held out nothing is accepted
+            top = max(np.quantile(z, 0.99), 1.0)
+            self.reach[lang] = 2 * top  # where no other language comes near
             if other[lang]:
                 y, m = np.array(other[lang]).T
                 far = (y - mean) / np.sqrt(self.between[lang] + self.within[lang] / m)
-                # where the shares of own text rejected and of other text accepted are least in sum, in the middle of the widest gap
-                steps = np.unique(np.concatenate([z, far, [4 * top]]))
+                # where the shares of own text rejected and of other text accepted are least in sum, three quarters through the widest gap, as
+                # whole domains are missing in what was held out
+                steps = np.unique(np.concatenate([z, far, [2 * top]]))
                 wrong = np.array([np.mean(z > x) + np.mean(far <= x) for x in steps[:-1]])
                 least = np.flatnonzero(wrong <= wrong.min() + 1e-12)
                 at = least[np.diff(steps)[least].argmax()]
-                self.reach[lang] = min(4 * top, (steps[at] + steps[at + 1]) / 2)
+                self.reach[lang] = (steps[at] + 3 * steps[at + 1]) / 4
                 self.false_accepts[lang] = np.mean(far <= self.reach[lang])
             self.false_rejects[lang] = np.mean(z > self.reach[lang])
         if sharp:
