@@ -7,6 +7,7 @@ Look-alike letters are told by the scripts of the word around them, counted per
 
 from __future__ import annotations
 
+import html
 import html.entities
 import unicodedata
 from functools import lru_cache
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..sources import deduplicate, table
 
-#: The tables cover two planes; above are ideographs and private planes, which stay.
-SIZE = 0x20000
+#: The tables cover three planes; above are private planes, which stay, and invisible tags and selectors, which share one entry.
+SIZE = 0x30000
+TAGS, TAG = (0xE0000, 0xE0FFF), 0x2060
 PLAIN, INVISIBLE, SPACE, VARIANT, WIDE_SIGN, MARK, UNIT = range(7)
 LATIN, CYRILLIC, GREEK, ARABIC, INDIC, THAI, HAN, KANA, OTHER = range(1, 10)
 
@@ -68,11 +70,11 @@ def tables() -> Tables:
     pairs: dict[int, int] = {}
     for a, b in ((0x41, 0x24F), (0x250, 0x2AF), (0xFB00, 0xFB06), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)):
         script[a : b + 1] = LATIN
-    for n, spans in ((CYRILLIC, ((0x400, 0x52F),)), (GREEK, ((0x370, 0x3FF), (0x1F00, 0x1FFF))), (ARABIC, ((0x600, 0x6FF), (0x750, 0x77F))), (INDIC, ((0x900, 0x97F),)), (THAI, ((0xE00, 0xE7F),)), (HAN, ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x9FFF), (0xF900, 0xFAFF))), (KANA, ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)))):
+    for n, spans in ((CYRILLIC, ((0x400, 0x52F),)), (GREEK, ((0x370, 0x3FF), (0x1F00, 0x1FFF))), (ARABIC, ((0x600, 0x6FF), (0x750, 0x77F))), (INDIC, ((0x900, 0x97F),)), (THAI, ((0xE00, 0xE7F),)), (HAN, ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))), (KANA, ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)))):
         for a, b in spans:
             script[a : b + 1] = n
     for c in range(0x80, SIZE):
-        if 0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xDFFF or 0xE000 <= c < 0xF900:
+        if 0x3400 <= c <= 0x9FFF or 0x20000 <= c < 0x2F800 or 0xAC00 <= c <= 0xDFFF or 0xE000 <= c < 0xF900:
             continue
         ch = chr(c)
         category = unicodedata.category(ch)
@@ -148,6 +150,11 @@ def tables() -> Tables:
     return Tables(kind, to, long_at, long_size, np.array(pool or [0], dtype=np.uint32), script, word, emoji, like, keys, np.array([pairs[int(k)] for k in keys], dtype=np.uint32))
 
 
+def _entries(codes: np.ndarray) -> np.ndarray:
+    """Places in the tables; what has no entry shares that of character 0."""
+    return np.where(codes < SIZE, codes, np.where((codes >= TAGS[0]) & (codes <= TAGS[1]), TAG, 0))
+
+
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all rows in one array, and each row's start (one more for the end). Null rows are empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -169,6 +176,27 @@ def to_arrow(codes: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.string())
 
 
+#: Characters after the ampersand of the longest named reference, with its semicolon.
+NAME = max(map(len, html.entities.html5))
+
+
+@lru_cache(maxsize=50_000)
+def _reference(ref: str) -> tuple[int, int, int, int]:
+    """Of what follows an ampersand: how many characters belong to the reference, how many it stands for (up to two), and these."""
+    if not ref:
+        return 0, 0, 0, 0
+    text = "&" + ref
+    out = html.unescape(text)
+    if out == text:
+        return 0, 0, 0, 0
+    for made in (2, 1, 0):
+        rest = out[made:]
+        if len(out) >= made and text.endswith(rest):
+            c = [ord(x) for x in out[:made]] + [0, 0]
+            return len(text) - len(rest) - 1, made, c[0], c[1]
+    return 0, 0, 0, 0
+
+
 def decode_page(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pages without their tags and with character references decoded."""
     if not len(codes):
@@ -192,41 +220,35 @@ def decode_page(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     codes[block] = 10
     keep |= block
     amp = np.flatnonzero((codes == 38) & keep)
-    semi_all = np.flatnonzero(codes == 59)
-    if len(amp) and len(semi_all):
-        where = np.searchsorted(semi_all, amp)
-        ok = where < len(semi_all)
-        amp, semi = amp[ok], semi_all[where[ok]]
-        ok = (semi - amp >= 3) & (semi - amp <= 32)
-        amp, semi = amp[ok], semi[ok]
-        value = np.zeros(len(amp), np.int64)
-        sharp = codes[amp + 1] == 35
-        hexa = sharp & ((codes[np.minimum(amp + 2, len(codes) - 1)] | 32) == 120)
-        good = sharp & (semi - amp <= 10)
-        for k in range(2, 10):
-            i = np.minimum(amp + k, len(codes) - 1)
-            c = codes[i].astype(np.int64)
-            live = good & (amp + k < semi) & ~(hexa & (k == 2))
-            digit = np.where((c >= 48) & (c <= 57), c - 48, np.where(hexa & ((c | 32) >= 97) & ((c | 32) <= 102), (c | 32) - 87, -1))
-            good &= ~(live & (digit < 0))
-            value = np.where(live & good, value * np.where(hexa, 16, 10) + digit, value)
-        value[~good] = 0
-        names = np.flatnonzero(~sharp & (semi - amp <= 12))
-        if len(names):
-            grid = np.zeros((len(names), 11), np.uint32)
-            for k in range(11):
-                i = amp[names] + 1 + k
-                grid[:, k] = np.where(i < semi[names], codes[np.minimum(i, len(codes) - 1)], 0)
-            kinds, which = np.unique(grid, axis=0, return_inverse=True)
-            found = np.array([ord(html.entities.html5.get("".join(map(chr, g[g > 0])) + ";", "\0")[0]) for g in kinds])
-            value[names] = found[which.reshape(-1)]
-        ok = (value > 0) & (value < 0x110000)
-        amp, semi, value = amp[ok], semi[ok], value[ok]
+    if len(amp):
+        # a reference's name or number lasts to the first sign that can't belong to it, a tag or the row's end
+        part = ((codes >= 48) & (codes <= 57) | ((codes | 32) >= 97) & ((codes | 32) <= 122)) & keep & ~row_start
+        part[amp] = False
+        sharp = np.append(codes[1:], 0)[amp] == 35
+        part[np.minimum(amp[sharp] + 1, len(codes) - 1)] = True
+        stops = np.append(np.flatnonzero(~part), len(codes))
+        end = stops[np.searchsorted(stops, amp, side="right")]
+        closed = (end < len(codes)) & (codes[np.minimum(end, len(codes) - 1)] == 59) & ~row_start[np.minimum(end, len(codes) - 1)]
+        end = end + closed
+        # each distinct reference is looked up once; a longer one than any name is looked up by itself
+        size = end - amp
+        grid = np.zeros((len(amp), NAME), np.uint32)
+        for k in range(1, NAME + 1):
+            live = k < size
+            grid[live, k - 1] = codes[amp[live] + k]
+        grid[size > NAME, 0] = 0
+        kinds, which = np.unique(grid, axis=0, return_inverse=True)
+        known = np.array([_reference("".join(map(chr, g[g > 0]))) for g in kinds], dtype=np.int64).reshape(-1, 4)[which.reshape(-1)]
+        for i in np.flatnonzero(size > NAME):
+            known[i] = _reference("".join(map(chr, codes[amp[i] + 1 : end[i]])))
+        ok = known[:, 0] > 0
+        amp, taken, made, first, second = amp[ok], known[ok, 0], known[ok, 1], known[ok, 2], known[ok, 3]
         gone = np.zeros(len(codes) + 1, np.int32)
-        np.add.at(gone, amp + 1, 1)
-        np.add.at(gone, semi + 1, -1)
+        np.add.at(gone, amp + made, 1)
+        np.add.at(gone, amp + 1 + taken, -1)
         keep &= np.cumsum(gone[:-1]) == 0
-        codes[amp] = value
+        codes[amp[made > 0]] = first[made > 0]
+        codes[amp[made > 1] + 1] = second[made > 1]
     kept = np.append(0, np.cumsum(keep))
     return codes[keep], kept[starts]
 
@@ -238,6 +260,10 @@ class Found(NamedTuple):
     letters: np.ndarray  # int32 (rows, 10): letters by script
 
 
+#: Letters that tell a block's script.
+ENOUGH = 9
+
+
 def _runs(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
     """Number of the run of word characters at each position, -1 outside; and how many there are."""
     begin = word & ~(np.append(False, word[:-1]) & (np.append(-1, row[:-1]) == row))
@@ -247,7 +273,7 @@ def _runs(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _composable(codes: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Positions of marks that compose with the character before, and what they make."""
-    safe = np.where(codes < SIZE, codes, 0)
+    safe = _entries(codes)
     marks = np.flatnonzero(t.kind[safe] == MARK)
     marks = marks[(marks > 0)]
     marks = marks[row[marks] == row[marks - 1]] if len(marks) else marks
@@ -259,10 +285,14 @@ def _composable(codes: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarr
     return marks[hit], t.composed[i[hit]]
 
 
-def _near(counts: np.ndarray, run_first: np.ndarray, run_last: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int = 60) -> np.ndarray:
-    """Letters within width of a run, itself left out, between the bounds of its row; counts is a running sum with a leading zero."""
-    a, b = np.maximum(run_first - width, lo), np.minimum(run_last + 1 + width, hi)
-    return (counts[b] - counts[a]) - (counts[run_last + 1] - counts[run_first])
+def _around(script: np.ndarray, scripts: tuple[int, ...], block: np.ndarray, row: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Letters of the scripts around runs that begin at these places, themselves (own) left out: those of the block of text, or where
+    it shows too few, of the whole row."""
+    out = []
+    for of in (block, row):
+        counts = np.stack([np.bincount(of, weights=script == s, minlength=int(of[-1]) + 1 if len(of) else 1) for s in scripts], axis=1)
+        out.append(counts[of[at]].astype(np.int64) - own)
+    return np.where((out[0].sum(axis=1) >= ENOUGH)[:, None], out[0], out[1])
 
 
 def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
@@ -270,7 +300,8 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
     t = tables()
     rows = len(starts) - 1
     row = np.repeat(np.arange(rows), np.diff(starts))
-    safe = np.where(codes < SIZE, codes, 0)
+    block = np.cumsum((codes == 10) | np.append(True, row[1:] != row[:-1])) - 1 if len(codes) else row
+    safe = _entries(codes)
     kind = t.kind[safe]
     # a variant counts for the script of what it becomes
     shown = np.where((kind == VARIANT) & (t.to[safe] < SIZE), t.to[safe], safe)
@@ -278,6 +309,9 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
     flag = np.zeros(len(codes), bool)
     emoji = t.emoji[safe]
     beside = np.append(False, emoji[:-1]) | np.append(emoji[1:], False) | np.append(np.append(False, False), emoji[:-2])[: len(codes)]
+    if (tag := (codes >= TAGS[0]) & (codes <= TAGS[1])).any():  # a sequence of tags belongs to the emoji before it
+        at = np.arange(len(codes))
+        beside |= tag & emoji[np.maximum(np.maximum.accumulate(np.where(tag, -1, at)), 0)]
     flag |= (kind == INVISIBLE) & ~beside
     flag |= (kind == SPACE) | (kind == VARIANT)
     marks, _ = _composable(codes, row, t)
@@ -286,7 +320,7 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
         a, b = map(ord, pair)
         hit = np.flatnonzero((codes[:-1] == a) & (codes[1:] == b))
         flag[hit[row[hit] == row[hit + 1]]] = True
-    word = t.word[safe] | (codes >= SIZE) | (kind == INVISIBLE)
+    word = t.word[safe] | (codes >= SIZE) & (safe == 0) | (kind == INVISIBLE)
     run, count = _runs(word, row)
     real = np.zeros(len(codes), np.uint32)
     letters = np.zeros((rows, 10), np.int32)
@@ -308,9 +342,7 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
         symbol = (last + 1 < len(codes)) & ((after == 0xB2) | (after == 0xB3) | (after == 0xB9) | (after >= 0x2070) & (after <= 0x2089)) & (length <= 2)
         symbol |= mixed & (length == 2) & (np.bincount(run[inside & (script == GREEK) & (t.like[GREEK, LATIN][safe] == 0)], minlength=count) == 1)
         # a run of one script, all of whose letters could be another's, among letters of that other
-        sums = {s: np.append(0, np.cumsum(script == s)) for s in (LATIN, CYRILLIC, GREEK)}
-        lo, hi = starts[row[first]], starts[row[first] + 1]
-        near = np.stack([_near(sums[s], first, last, lo, hi) for s in (LATIN, CYRILLIC, GREEK)], axis=1)
+        near = _around(script, (LATIN, CYRILLIC, GREEK), block, row, first, by[:, 1:])
         for a in (LATIN, CYRILLIC, GREEK):
             for b in (LATIN, CYRILLIC, GREEK):
                 if a == b:
@@ -325,9 +357,9 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
                 hit = mixed & (alike > 0) & lesser & (by[:, b] > 0) & ~symbol
                 # all letters alike, and nine in ten around are of b
                 alone = ~mixed & (alike > 0) & (alike == by[:, a]) & ~symbol
-                hit |= alone & (near[:, b - 1] >= 9) & (near[:, b - 1] * 10 >= near.sum(axis=1) * 9)
+                hit |= alone & (near[:, b - 1] >= ENOUGH) & (near[:, b - 1] * 10 >= near.sum(axis=1) * 9)
                 if a != LATIN and b == LATIN or a == LATIN and b != LATIN:
-                    only = alone & (near.sum(axis=1) < 9)
+                    only = alone & (near.sum(axis=1) < ENOUGH)
                     code = 1 if a == CYRILLIC else 2 if a == GREEK else 3
                     whole[row[first[only]]] = code
                 at = inside & (script == a) & (like > 0)
@@ -342,12 +374,9 @@ def examine(codes: np.ndarray, starts: np.ndarray) -> tuple[Found, np.ndarray]:
     wide_sign = np.flatnonzero(kind == WIDE_SIGN)
     wide = np.zeros(rows, bool)
     if len(wide_sign):
-        east = np.append(0, np.cumsum((script == HAN) | (script == KANA)))
-        every = np.append(0, np.cumsum(script > 0))
-        r = row[wide_sign]
-        a, b = np.maximum(wide_sign - 30, starts[r]), np.minimum(wide_sign + 31, starts[r + 1])
-        none = east[b] == east[a]
-        some = every[b] - every[a] >= 4
+        r, of = row[wide_sign], block[wide_sign]
+        none = np.bincount(block, weights=(script == HAN) | (script == KANA))[of] == 0
+        some = np.bincount(block, weights=script > 0)[of] >= 4
         flag[wide_sign[none & some & (letters[r][:, [HAN, KANA]].sum(axis=1) == 0)]] = False
         wide[r[none]] = True
     case = np.zeros(rows, bool)
@@ -360,7 +389,7 @@ def unify(codes: np.ndarray, starts: np.ndarray, real: np.ndarray) -> tuple[np.n
     t = tables()
     rows = len(starts) - 1
     row = np.repeat(np.arange(rows), np.diff(starts))
-    safe = np.where(codes < SIZE, codes, 0)
+    safe = _entries(codes)
     kind = t.kind[safe]
     letters_east = np.zeros(rows, bool)
     letters_east[row[np.isin(t.script[safe], (HAN, KANA))]] = True
@@ -370,6 +399,9 @@ def unify(codes: np.ndarray, starts: np.ndarray, real: np.ndarray) -> tuple[np.n
     size = np.where(change & (t.long_at[safe] >= 0) & (real == 0), t.long_size[safe], 1)
     emoji = t.emoji[safe]
     beside = np.append(False, emoji[:-1]) | np.append(emoji[1:], False)
+    if (tag := (codes >= TAGS[0]) & (codes <= TAGS[1])).any():
+        at = np.arange(len(codes))
+        beside |= tag & emoji[np.maximum(np.maximum.accumulate(np.where(tag, -1, at)), 0)]
     size[(kind == INVISIBLE) & ~beside] = 0
     for pair, one in _SEQUENCES.items():
         a, b = map(ord, pair)
@@ -438,36 +470,77 @@ def look_alikes(df: DataFrame, text: str, out: str = "found", page: bool = False
     return df.withColumn(out, F.arrow_udf(run, _FOUND)(F.col(text)))
 
 
-def unified(df: DataFrame, text: str, out: str = "unified", page: bool = False) -> DataFrame:
-    """Adds the text in its one form. Null stays null. Full-width signs stay in rows with ideographs or kana."""
+#: What a wider context can decide of a word: from which script to which its letters go.
+DECIDED = {1: (CYRILLIC, LATIN), 2: (GREEK, LATIN), 3: (LATIN, CYRILLIC), 4: (LATIN, GREEK)}
 
-    def step(texts: pa.Array) -> pa.Array:
+
+def unified(df: DataFrame, text: str, out: str = "unified", page: bool = False, decided: str | None = None) -> DataFrame:
+    """Adds the text in its one form. Null stays null. Full-width signs stay in rows with ideographs or kana.
+
+    decided: a column of the keys of DECIDED, by which all letters of the row go to the other script; 0 or null decides nothing."""
+
+    def step(texts: pa.Array, codes_of: np.ndarray | None = None) -> pa.Array:
         codes, starts = code_points(texts)
         if page:
             codes, starts = decode_page(codes, starts)
-        made = to_arrow(*unify(codes, starts, examine(codes, starts)[1]))
+        real = examine(codes, starts)[1]
+        if codes_of is not None and codes_of.any():
+            t, safe, own = tables(), _entries(codes), np.repeat(codes_of, np.diff(starts))
+            for code, (a, b) in DECIDED.items():
+                at = (own == code) & (t.script[safe] == a) & (real == 0)
+                real[at] = t.like[a, b][safe[at]]
+        made = to_arrow(*unify(codes, starts, real))
         return pc.if_else(pc.is_valid(texts), made, pa.scalar(None, pa.string()))
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays(list(map(step, _steps(texts))))
 
+    def run_decided(texts: pa.Array, codes_of: pa.Array) -> pa.Array:
+        each = pc.fill_null(codes_of, 0).to_numpy(zero_copy_only=False)
+        parts, at = [], 0
+        for part in _steps(texts):
+            parts.append(step(part, each[at : at + len(part)]))
+            at += len(part)
+        return pa.concat_arrays(parts)
+
+    if decided is not None:
+        return df.withColumn(out, F.arrow_udf(run_decided, "string")(F.col(text), F.col(decided).cast("int")))
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(text)))
 
 
-def word_cases(words: DataFrame, group: str, text: str) -> DataFrame:
-    """Words with their found struct and `is_case`: certain ones, and those that the scripts of their group (one file, one language)
-    decide. Groups are summed map-side to one row; only undecided words are joined to their group. Words without a group stand for
-    themselves. Columns found and is_case of the input are replaced."""
-    words = words.drop("found", "is_case", *[f"_{x}" for x in ("latin", "cyrillic", "greek", "east", "other")])
+_SUMS = ("latin", "cyrillic", "greek", "east", "other")
+
+
+def _decide(words: DataFrame, group: str, text: str) -> DataFrame:
+    """Words of which their scripts leave something open or that are cases, with found, is_case and decided (0 or a key of DECIDED).
+
+    Groups (one file, one language) are summed map-side to one row; only undecided words are joined to their group."""
     seen = look_alikes(words, text)
-    sums = seen.groupBy(group).agg(*[F.sum(f"found.{x}").alias(f"_{x}") for x in ("latin", "cyrillic", "greek", "east", "other")])
+    sums = seen.groupBy(group).agg(*[F.sum(f"found.{x}").alias(f"_{x}") for x in _SUMS])
     # the certain and the undecided ones only; the rest has gone into the sums
     some = seen.where("found.case or found.whole > 0 or found.wide").join(sums, group, "left")
     every = F.col("_latin") + F.col("_cyrillic") + F.col("_greek")
-    foreign = F.col("found.whole").isin(1, 2) & (F.col("_latin") * 10 >= every * 8)
-    latin = (F.col("found.whole") == 3) & (F.greatest("_cyrillic", "_greek") * 10 >= every * 8)
-    is_case = F.col("found.case") | F.coalesce(foreign | latin | F.col("found.wide") & (F.col("_east") == 0), F.lit(False))
-    return some.where(is_case).select(*words.columns, "found").withColumn("is_case", F.lit(True))
+    latin = F.col("_latin") * 10 >= every * 8
+    code = F.when(F.col("found.whole").isin(1, 2) & latin, F.col("found.whole").cast("int"))
+    code = code.when((F.col("found.whole") == 3) & (F.col("_cyrillic") * 10 >= every * 8), 3).when((F.col("found.whole") == 3) & (F.col("_greek") * 10 >= every * 8), 4)
+    some = some.withColumn("decided", F.coalesce(code.otherwise(0), F.lit(0)))
+    is_case = F.col("found.case") | (F.col("decided") > 0) | F.coalesce(F.col("found.wide") & (F.col("_east") == 0), F.lit(False))
+    return some.withColumn("is_case", is_case).select(*words.columns, "found", "is_case", "decided")
+
+
+def word_cases(words: DataFrame, group: str, text: str) -> DataFrame:
+    """Words with their found struct and `is_case`: certain ones, and those that the scripts of their group decide. Words without a
+    group stand for themselves. Columns found, is_case and decided of the input are replaced."""
+    words = words.drop("found", "is_case", "decided", *[f"_{x}" for x in _SUMS])
+    return _decide(words, group, text).where("is_case").drop("decided")
+
+
+def words_unified(words: DataFrame, group: str, text: str, out: str = "unified") -> DataFrame:
+    """Words with out, the one form: as unified(), but letters that the group decides go to the group's script."""
+    words = words.drop("found", "is_case", "decided", out, *[f"_{x}" for x in _SUMS])
+    told = _decide(words, group, text).where("found.whole > 0").select(*words.columns, "decided")
+    sure = look_alikes(words, text).where("found is null or found.whole = 0").select(*words.columns, F.lit(0).alias("decided"))
+    return unified(sure.unionByName(told), text, out, decided="decided").drop("decided")
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
@@ -479,9 +552,9 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark, sf_dir: str) -> DataFrame:
-    """Words and pages, each once, in the one form; the words' file decides nothing here that the word itself leaves open."""
-    words = deduplicate(table(spark, sf_dir, "evidence_words", "word_id", "text", "received_at"), ["word_id"])
+    """Words and pages, each once, in the one form."""
+    words = deduplicate(table(spark, sf_dir, "evidence_words", "word_id", "evidence_id", "text", "received_at"), ["word_id"])
     pages = deduplicate(table(spark, sf_dir, "unicode_jobs", "job_id", "source", "received_at"), ["job_id"])
-    a = unified(words, "text").select(F.lit("evidence_words.text").alias("field_name"), F.col("word_id").alias("record_id"), "unified")
+    a = words_unified(words, "evidence_id", "text").select(F.lit("evidence_words.text").alias("field_name"), F.col("word_id").alias("record_id"), "unified")
     b = unified(pages, "source", page=True).select(F.lit("unicode_jobs.source").alias("field_name"), F.col("job_id").alias("record_id"), "unified")
     return a.unionByName(b)

@@ -344,6 +344,31 @@ def test_decode_page_as_html_does():
         assert re.sub(r"\s", "", ours) == re.sub(r"\s", "", want), text
 
 
+@pytest.mark.parametrize("ref, want", [("&ZeroWidthSpace;", "\u200b"), ("&NonBreakingSpace;", "\xa0"), ("&CounterClockwiseContourIntegral;", "∳"), ("&nbsp", "\xa0"), ("&nbspx", "\xa0x"), ("&NotEqualTilde;", "≂̸"), ("&#0000000000000000000000000000000000000000233;", "é"), ("&#xE9", "é"), ("&nosuch;", "&nosuch;"), ("&", "&"), ("&amp;lt;", "&lt;"), ("&eacute<b>;</b>", "é;"), ("&am<b>p;</b>", "&amp;")])
+def test_references(ref, want):
+    codes, starts = unify.decode_page(*unify.code_points(pa.array(["a", f"x{ref}", ref, "p;"])))
+    assert unify.to_arrow(codes, starts).to_pylist() == ["a", "x" + want, want, "p;"]
+
+
+def test_cases_in_references_and_high_planes():
+    assert fold("<p>a&ZeroWidthSpace;b&NonBreakingSpace;c</p>", page=True) == (True, "\nab c\n")
+    assert fold("\U0002f800") == (True, unicodedata.normalize("NFC", "\U0002f800")) and fold("a\U000e0101") == (True, "a") and fold("\U00020001") == (False, "\U00020001")
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e007f"
+    assert fold(flag) == (False, flag)
+
+
+def test_context_is_the_block():
+    long = "The printing house compares the missing page with the notes of the archive desk and keeps them. " * 3
+    assert fold(f"<p>{long}а {long}</p>", page=True)[0] and not fold(f"<p>{long}</p><p>Комиссия а также архив собирает все заметки</p>", page=True)[0]
+
+
+def test_words_unified_by_their_file(spark):
+    rows = [(i, 1, w) for i, w in enumerate(["school", "paper", "the", "а", "note", None, ""])] + [(10 + i, 2, w) for i, w in enumerate(["школа", "бумага", "а", "c"])] + [(30, None, "а")]
+    df = spark.createDataFrame(rows, "id long, f long, text string").withColumn("decided", F.lit(1))
+    got = {r["id"]: r["unified"] for r in unify.words_unified(df, "f", "text").collect()}
+    assert len(got) == len(rows) and got[3] == "a" and got[12] == "а" and got[13] == "с" and got[5] is None and got[0] == "school" and got[30] == "а"
+
+
 def test_word_cases(spark):
     rows = [(i, 1, w) for i, w in enumerate(["school", "paper", "the", "а", "note", None, ""])] + [(10 + i, 2, w) for i, w in enumerate(["школа", "бумага", "а", "c"])] + [(20, 3, "，"), (21, 3, "什么"), (22, 4, "a，"), (23, 4, "word")]
     df = spark.createDataFrame(rows, "id long, f long, text string").withColumn("found", F.lit(1)).withColumn("case", F.lit(1))
