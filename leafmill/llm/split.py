@@ -1,12 +1,15 @@
 """Problem 5: cut items over a size limit at natural boundaries, with an overlap.
 
-Structure-tree packing: a text is read as a tree (sections under headings, blocks, lines, sentences, clauses,
-words, characters). Sibling subtrees are merged bottom-up while they fit; only a node that does not fit is opened.
+Structure-tree packing: marks, tags and references are found first, then a text is read as a tree: sections nested by the rank of
+their headings, blocks, lists nested by depth, lines, sentences, clauses, words, characters. Sibling subtrees are merged bottom-up
+while they fit; only a node that does not fit is opened. No boundary lies inside a mark, tag or reference that fits.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,44 +18,114 @@ from pyspark.sql import functions as F
 
 from ..sources import table
 
-#: Levels of the tree from coarse to fine: a piece may end where the pattern ends.
+#: Headings by rank: Markdown, wiki, HTML and LaTeX.
+_HEADING = re.compile(r"^(?P<hash>#{1,6})[ \t]|^(?P<wiki>={2,6})[^=\n]|<h(?P<html>[1-6])\b|^[ \t]*\\(?P<tex>part|chapter|(?:sub){0,2}section|paragraph)\b", re.M | re.I)
+_TEX = {"part": 0, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+#: List items, and the tags that nest them.
+_ITEM = re.compile(r"^(?P<indent>[ \t]*)(?:[-*+•]|\d{1,9}[.)])[ \t]+(?=\S)|<(?P<close>/?)(?P<tag>ul|ol|li)\b", re.M | re.I)
+#: Boundaries below sections, from coarse to fine: a piece may end where the pattern ends. Lists are opened between the first two.
 _LEVELS = [
-    re.compile(r"\n(?=#{1,6}\s|<h[1-6]\b|={2,6}[^=\n]|\\(?:chapter|(?:sub)*section)\b)", re.I),
     re.compile(r"\n\s*\n|</(?:p|div|section|ul|ol|table|pre|h[1-6])\s*>", re.I),
     re.compile(r"\n|</li\s*>|<br\s*/?>", re.I),
     re.compile(r"(?:(?<![\s.][^\W\d_])(?<!\b[^\W\d_]{2})[.!?…]+[\"'”’»)\]]*(?:⟦[^⟧]*⟧)*\s+|[。！？।؟]+[”’」』）]*\s*)"),
     re.compile(r"[,;:—，、；：،]\s*"),
     re.compile(r"\s+"),
 ]
-_MARK = re.compile(r"⟦[^⟦⟧]{0,64}⟧|&#?\w{1,10};|<[^<>]{0,256}>")
-
-
-def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    edges = [start, *cuts, end]
-    return list(zip(edges, edges[1:]))
+_MARK = re.compile(r"⟦[^⟦⟧]*⟧|&#?\w+;|<[A-Za-z/!][^<>]*>")
+SECTIONS, LISTS = "sections", "lists"
+_KINDS = (SECTIONS, _LEVELS[0], LISTS, *_LEVELS[1:])
+
+
+class _Text:
+    """A text with its headings and items by place and depth, and the spans that stay whole."""
+
+    def __init__(self, text: str, limit: int, overlap: int) -> None:
+        self.text, self.limit, self.room = text, limit, limit - overlap
+        room = self.room
+        spans = [m.span() for m in _MARK.finditer(text)]
+        self.marks = [(a, b) for a, b in spans if b - a <= room]
+        self.opens = [a for a, _ in self.marks]
+        self.headings: list[tuple[int, int]] = []
+        for m in _HEADING.finditer(text):
+            rank = len(m["hash"] or m["wiki"] or "") or (int(m["html"]) if m["html"] else _TEX[m["tex"].lower()])
+            self.headings.append((m.start(), rank))
+        self.items: list[tuple[int, int]] = []
+        #: Ends of lists within lists, which end no block.
+        self.inner: set[int] = set()
+        depth = 0
+        for m in _ITEM.finditer(text):
+            tag = (m["tag"] or "").lower()
+            if tag in ("ul", "ol"):
+                depth = max(0, depth - 1) if m["close"] else depth + 1
+                if m["close"] and depth:
+                    self.inner.add(text.find(">", m.end()) + 1)
+            elif tag == "li":
+                if not m["close"]:
+                    self.items.append((m.start(), 1000 * depth))
+            else:
+                self.items.append((m.start(), 1000 * depth + len(m["indent"].expandtabs(4))))
+
+    def inside(self, at: int) -> bool:
+        """Whether a place lies within a mark, tag or reference that is to stay whole."""
+        k = bisect_left(self.opens, at) - 1
+        return k >= 0 and at < self.marks[k][1]
+
+    def cuts(self, start: int, end: int, kind: object) -> list[int]:
+        """Places where the children of [start, end) of a kind begin, but for the first."""
+        if kind is SECTIONS or kind is LISTS:
+            places = self.headings if kind is SECTIONS else self.items
+            own = places[bisect_right(places, (start, 1 << 30)) : bisect_left(places, (end, -1))]
+            top = min((depth for _, depth in own), default=0)
+            found = [at for at, depth in own if depth == top]
+        else:
+            found = [m.end() for m in kind.finditer(self.text, start, end) if start < m.end() < end]
+        return [at for at in found if at not in self.inner and not self.inside(at)]
 
+    def left(self, start: int) -> int:
+        """Characters a tile that begins here may have: the first carries no overlap."""
+        return self.room if start else self.limit
 
-def _characters(text: str, start: int, end: int, room: int) -> list[tuple[int, int]]:
-    """Runs of at most room characters; a mark, entity or tag and a base with its combining marks stay whole if they fit."""
-    out = []
-    marks = [m.span() for m in _MARK.finditer(text, max(0, start - 256), min(len(text), end + 256))]
-    while end - start > room:
-        cut = start + room
-        inside = next((a for a, b in marks if a < cut < b), None)
-        if inside is not None and inside > start:
-            cut = inside
-        else:
-            import unicodedata
+    def pack(self, start: int, end: int, level: int = 0) -> list[tuple[int, int]]:
+        """Tiles of [start, end), subtrees that fit."""
+        if end - start <= self.left(start):
+            return [(start, end)]
+        if level == len(_KINDS):
+            return self.characters(start, end)
+        kind = _KINDS[level]
+        cuts = self.cuts(start, end, kind)
+        if not cuts:
+            return self.pack(start, end, level + 1)
+        out: list[tuple[int, int]] = []
+        edges = [start, *cuts, end]
+        for a, b in zip(edges, edges[1:]):
+            if out and b - out[-1][0] <= self.left(out[-1][0]):
+                out[-1] = (out[-1][0], b)  # merge siblings
+            elif b - a <= self.left(a):
+                out.append((a, b))
+            else:
+                # sections and lists hold further ones; the first child has none at this depth
+                inner = self.pack(a, b, level if kind in (SECTIONS, LISTS) and self.cuts(a, b, kind) else level + 1)
+                if kind is not SECTIONS and out and inner[0][1] - out[-1][0] <= self.left(out[-1][0]):
+                    out[-1] = (out[-1][0], inner[0][1])
+                    inner = inner[1:]
+                out.extend(inner)
+        return out
 
-            back = cut
-            while back > start + 1 and (unicodedata.combining(text[back]) or text[back] in "‍️" or text[back - 1] == "‍"):
-                back -= 1
-            if cut - back < 32:
-                cut = back
-        out.append((start, cut))
-        start = cut
-    return [*out, (start, end)]
+    def characters(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Runs of as many characters as fit; a mark, and a base with its combining marks, stay whole if they fit."""
+        text, out = self.text, []
+        while end - start > self.left(start):
+            cut = start + self.left(start)
+            if self.inside(cut) and (a := self.marks[bisect_left(self.opens, cut) - 1][0]) > start:
+                cut = a
+            else:
+                back = cut
+                while back > start and (unicodedata.combining(text[back]) or text[back] in "\u200d\ufe0f" or text[back - 1] == "\u200d"):
+                    back -= 1
+                cut = back if back > start else cut
+            out.append((start, cut))
+            start = cut
+        return [*out, (start, end)]
 
 
 def pieces(text: str | None, limit: int | None, overlap: int | None) -> list[tuple[int, int]]:
@@ -68,37 +141,12 @@ def pieces(text: str | None, limit: int | None, overlap: int | None) -> list[tup
         return [(0, n)]
     limit = int(limit)
     overlap = min(max(int(overlap or 0), 0), limit - 1)
-    room = limit - overlap
-
-    def pack(start: int, end: int, level: int) -> list[tuple[int, int]]:
-        """Tile [start, end) by subtrees of at most room characters."""
-        if end - start <= room:
-            return [(start, end)]
-        if level == len(_LEVELS):
-            return _characters(text, start, end, room)
-        out: list[tuple[int, int]] = []
-        for a, b in _children(text, start, end, level):
-            if out and b - out[-1][0] <= room:
-                out[-1] = (out[-1][0], b)  # merge siblings
-            elif b - a <= room:
-                out.append((a, b))
-            else:
-                inner = pack(a, b, level + 1)
-                if out and inner[0][1] - out[-1][0] <= room:
-                    out[-1] = (out[-1][0], inner[0][1])
-                    inner = inner[1:]
-                out.extend(inner)
-        return out
-
-    tiles = pack(0, n, 0)
-    # the first piece carries no overlap of its own and must be at least as long as the one it passes on
+    tiles = _Text(text, limit, overlap).pack(0, n)
+    # the first piece must be at least as long as the overlap it passes on; what it takes for that fits, as it has no overlap itself
     first = 0
-    while first + 1 < len(tiles) and tiles[first + 1][1] <= limit:
+    while tiles[first][1] < overlap:
         first += 1
     tiles = [(0, tiles[first][1]), *tiles[first + 1 :]]
-    if tiles[0][1] < overlap:
-        short = tiles[0][1]
-        tiles = [(0, overlap), *pack(overlap, n, 0)] if overlap < n else [(0, short)]
     return [(max(0, a - overlap) if i else 0, b) for i, (a, b) in enumerate(tiles)]
 
 
@@ -140,6 +188,7 @@ def unit_pieces(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
+    """Units that came out in more than one piece."""
     return unit_pieces(spark, sf_dir).where(F.size("pieces") > 1).select("unit_key").distinct()
 
 

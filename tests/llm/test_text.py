@@ -495,6 +495,33 @@ def test_pieces_prefer_structure():
     assert check_pieces(text, 50, 0)[1].startswith("# B")
 
 
+def test_sections_stay_whole():
+    """A subsection stays with its section: siblings are merged only at their own depth."""
+    part = "x" * 60
+    text = f"# A\n{part}\n# B\n{part}\n## C\n{part}\n"
+    assert [p.startswith(h) for p, h in zip(check_pieces(text, 150, 0), ("# A", "# B"))] == [True, True]
+    web = f"<h2>A</h2><p>{part}</p><h2>B</h2><p>{part}</p><h3>C</h3><p>{part}</p>"
+    assert [p[:6] for p in check_pieces(web, 190, 0)] == ["<h2>A<", "<h2>B<"]
+
+
+def test_nested_lists_are_opened_by_depth():
+    text = "".join(f"- item {i}\n" + "".join(f"  - part {i}{j} {'y' * 10}\n" for j in range(3)) for i in range(4))
+    assert all(p.startswith("- item") for p in check_pieces(text, 90, 0))
+    web = "<ul>" + "".join(f"<li>item {i}<ul>" + "".join(f"<li>part {i}{j}</li>" for j in range(3)) + "</ul></li>" for i in range(4)) + "</ul>"
+    assert all(p.startswith("<li>item") for p in check_pieces(web, 130, 0)[1:])
+
+
+def test_marks_tags_and_combining_runs_stay_whole():
+    text = "a" * 25 + "⟦OPEN:T000001⟧" + "b" * 40
+    assert all(p.count("⟦") == p.count("⟧") for p in check_pieces(text, 30, 0))
+    tag = "<a " + "href=x " * 58 + ">"
+    assert any(tag in p for p in check_pieces("c" * 300 + tag + "word " * 100, 500, 0))
+    long = "⟦" + "m" * 100 + "⟧"
+    assert any(long in p for p in check_pieces("word " * 30 + long + " word" * 30, 120, 0))
+    assert [p for p in check_pieces("z" * 30 + "e" + "\u0301" * 60 + "z" * 60, 70, 0)][1].startswith("e")
+    check_pieces("e" + "\u0301" * 300, 50, 5)
+
+
 def test_pieces_edges():
     assert split.pieces(None, 5, 1) == [] and split.pieces("", 5, 1) == [(0, 0)]
     assert split.pieces("abc", None, 1) == [(0, 3)] == split.pieces("abc", 0, None) == split.pieces("abc", 3, 1)
