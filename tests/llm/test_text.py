@@ -592,6 +592,36 @@ def test_garbled_beside_odd_characters(models):
     assert found and fixed.startswith(f"{odd} {SENTENCES['ru']}\n") and sum(a == b for a, b in zip(fixed.split("\n")[1], part)) > 0.9 * len(part)
 
 
+def test_any_number_of_layers(models):
+    text = SENTENCES["fr"]
+    by = {b: c for c, b in reversed(garbled._bytes_of("cp1252").items())}
+    bad = text
+    for layers in range(1, 7):
+        bad = "".join(by.get(b, chr(b)) for b in bad.encode())
+        assert garbled.Repairer(models).repair(bad)[:2] == (text, True), layers
+
+
+@pytest.mark.parametrize("wrong", ["gb18030", "cp932"])
+def test_wide_readings_are_decoded_strictly(models, wrong):
+    """Lost bytes are never made up: what decodes is restored, what doesn't stays, and no replacement character comes in."""
+    text = SENTENCES["zh"]
+    whole = text.encode().decode(wrong, "ignore")
+    fixed, found, _ = garbled.Repairer(models).repair(whole)
+    assert found and "\ufffd" not in fixed
+    if text.encode().decode(wrong, "replace") == whole:
+        assert fixed == text
+
+
+@pytest.mark.parametrize("lang, right, wrong", [("fr", "cp1252", "cp1250"), ("fr", "cp1252", "iso8859-2"), ("ru", "cp1251", "cp1257"), ("el", "cp1253", "cp1256")])
+def test_any_single_byte_reading(models, lang, right, wrong):
+    text = SENTENCES[lang].replace("’", "'")
+    raw = text.encode(right)
+    bad = "".join(bytes([b]).decode(wrong) if b < 128 or b not in garbled._bytes_of(wrong).values() else next(c for c, x in garbled._bytes_of(wrong).items() if x == b) for b in raw)
+    if bad != text:
+        fixed, found, _ = garbled.Repairer(models).repair(bad)
+        assert found and sum(a == b for a, b in zip(fixed, text)) > 0.9 * len(text)
+
+
 def test_lost_characters(models):
     assert garbled.Repairer(models).repair("the author�s first plan") == ("the author�s first plan", True, [])
 
