@@ -283,7 +283,7 @@ def label_cases(df: DataFrame, own: Identifier, out: str = "langs") -> DataFrame
                 rows.append(found if found and (len(found) > 1 or code not in found) else None)
             yield pd.Series(rows, dtype=object)
 
-    return df.withColumn(out, F.pandas_udf(run, "array<string>")("field_name", "label", "text"))
+    return df.withColumn(out, F.pandas_udf(run, "array<string>").asNondeterministic()("field_name", "label", "text"))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
@@ -301,5 +301,5 @@ def p1_stretches(spark, sf_dir: str) -> DataFrame:
             read = own.read([t if isinstance(t, str) else None for t in texts], [name == _FIELDS[0] for name in names])
             yield pd.Series([[{"stretch_no": i, "lang": x.lang, "confidence": round(x.confidence, 6), "sentences": x.sentences, "characters": len(x.text)} for i, x in enumerate(own.stretches(c, s, n), 1)] for c, _, s, n in read], dtype=object)
 
-    rows = F.pandas_udf(run, "array<struct<stretch_no:int,lang:string,confidence:double,sentences:int,characters:int>>")
+    rows = F.pandas_udf(run, "array<struct<stretch_no:int,lang:string,confidence:double,sentences:int,characters:int>>").asNondeterministic()
     return _records(spark, sf_dir).select("field_name", "record_id", F.explode(rows("field_name", "text")).alias("s")).select("field_name", "record_id", "s.*").distinct()

@@ -601,14 +601,14 @@ def structure(df: DataFrame, text: str, out: str = "structure") -> DataFrame:
     """Adds ARRAY<INT>: headings, list items, code blocks, formulas; null for texts without markup, null and empty ones.
 
     A column named out is replaced; others pass through, whatever their names."""
-    counts = F.pandas_udf(structure_udf, "array<int>")
+    counts = F.pandas_udf(structure_udf, "array<int>").asNondeterministic()
     maybe = F.col(text).rlike(_MAYBE)
     return df.withColumn(out, F.when(maybe, counts(F.when(maybe, F.col(text)))))
 
 
 def clean_text(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:
     """Adds the clean text; null stays null, empty stays empty."""
-    return df.withColumn(out, F.pandas_udf(clean_udf, "string")(F.col(text)))
+    return df.withColumn(out, F.pandas_udf(clean_udf, "string").asNondeterministic()(F.col(text)))
 
 
 def _fields(spark, sf_dir: str) -> list[tuple[str, DataFrame]]:

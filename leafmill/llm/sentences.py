@@ -477,7 +477,7 @@ def sentence_ends(df: DataFrame, page: str, tagger: Tagger, out: str = "ends") -
         for pages in batches:
             yield pd.Series([_sentence_ends(p, tagger) for p in pages], dtype=object)
 
-    return df.withColumn(out, F.pandas_udf(run, "array<struct<block_no:int,end_pos:int>>")(F.col(page)))
+    return df.withColumn(out, F.pandas_udf(run, "array<struct<block_no:int,end_pos:int>>").asNondeterministic()(F.col(page)))
 
 
 def _pages(spark, sf_dir: str) -> DataFrame:
@@ -499,6 +499,6 @@ def p4_sentences(spark, sf_dir: str) -> DataFrame:
         for pages in batches:
             yield pd.Series([[{"block_no": b, "sentence_no": k, "sentence": s} for b, t in enumerate(paragraphs(p), 1) for k, s in enumerate(tagger.split(t), 1)] for p in pages], dtype=object)
 
-    cut = F.pandas_udf(run, "array<struct<block_no:int,sentence_no:int,sentence:string>>")
+    cut = F.pandas_udf(run, "array<struct<block_no:int,sentence_no:int,sentence:string>>").asNondeterministic()
     rows = _pages(spark, sf_dir).select("field_name", "job_id", cut("source").alias("all")).dropDuplicates(["field_name", "job_id"])
     return rows.select("field_name", "job_id", F.explode("all").alias("s")).select("field_name", "job_id", "s.*")

@@ -161,7 +161,7 @@ def split_items(df: DataFrame, text: str, limit: str, overlap: str, out: str = "
         for texts, limits, overlaps in batches:
             yield pd.Series([None if t is None else [{"start": a, "end": b} for a, b in pieces(t, None if pd.isna(m) else int(m), None if pd.isna(o) else int(o))] for t, m, o in zip(texts, limits, overlaps)], dtype=object)
 
-    udf = F.pandas_udf(spans, "array<struct<start:int,end:int>>")
+    udf = F.pandas_udf(spans, "array<struct<start:int,end:int>>").asNondeterministic()
     size = F.length(text)
     over = (F.col(limit) > 0) & (size > F.col(limit))
     whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))

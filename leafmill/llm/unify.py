@@ -467,7 +467,7 @@ def look_alikes(df: DataFrame, text: str, out: str = "found", page: bool = False
     def run(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays(list(map(step, _steps(texts))))
 
-    return df.withColumn(out, F.arrow_udf(run, _FOUND)(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(run, _FOUND).asNondeterministic()(F.col(text)))
 
 
 #: What a wider context can decide of a word: from which script to which its letters go.
@@ -504,8 +504,8 @@ def unified(df: DataFrame, text: str, out: str = "unified", page: bool = False,
         return pa.concat_arrays(parts)
 
     if decided is not None:
-        return df.withColumn(out, F.arrow_udf(run_decided, "string")(F.col(text), F.col(decided).cast("int")))
-    return df.withColumn(out, F.arrow_udf(run, "string")(F.col(text)))
+        return df.withColumn(out, F.arrow_udf(run_decided, "string").asNondeterministic()(F.col(text), F.col(decided).cast("int")))
+    return df.withColumn(out, F.arrow_udf(run, "string").asNondeterministic()(F.col(text)))
 
 
 _SUMS = ("latin", "cyrillic", "greek", "east", "other")
