@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Costs of a merge or split and of leaving a block out; most blocks in a merge; most cells of the table.
-MERGE, SPLIT, SKIP, GROUP, CELLS = 0.15, 0.15, 0.6, 4, 20_000_000
+#: Costs of leaving a block out, of each further block in a split and in a merge; most blocks that go together.
+SKIP, SPLIT, MERGE, GROUP = 1.5, 0.15, 0.6, 4
 
 
 def first_mismatch(a: Sequence[str], b: Sequence[str], joins: frozenset[str] = frozenset()) -> tuple[int, int] | None:
@@ -29,29 +29,43 @@ def first_mismatch(a: Sequence[str], b: Sequence[str], joins: frozenset[str] = f
 
 
 def align(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """Blocks given by their lengths: steps (from a, how many, from b, how many) of least cost. A match costs the relative difference
-    of the lengths; up to GROUP blocks merge. Beyond CELLS cells blocks are matched by place."""
+    """Blocks given by their counts of sentences: steps (from a, how many, from b, how many) of least cost. A match costs the difference
+    of the counts; one block of a may stand for up to GROUP of b (a split) and the other way round (a merge); a block left out costs
+    SKIP. Ties go to the match, then to fewer blocks.
+
+    Rows of the table are made one after another with all columns at once, and what a cell came from is kept in one byte, so that
+    long texts cost time and a byte a cell."""
     n, m = len(a), len(b)
-    if n * m > CELLS:
-        return [(i, int(i < n), i, int(i < m)) for i in range(max(n, m))]
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    steps = [(1, 1, 0.0), (1, 0, SKIP), (0, 1, SKIP), *((k, 1, MERGE * (k - 1)) for k in range(2, GROUP + 1)), *((1, k, SPLIT * (k - 1)) for k in range(2, GROUP + 1))]
+    left, right = np.concatenate(([0], np.cumsum(np.asarray(a, dtype=np.float64)))), np.concatenate(([0], np.cumsum(np.asarray(b, dtype=np.float64))))
+    steps = [(1, 1, 0.0), *((1, k, SPLIT * (k - 1)) for k in range(2, GROUP + 1)), *((k, 1, MERGE * (k - 1)) for k in range(2, GROUP + 1)), (1, 0, SKIP), (0, 1, SKIP)]
+    rows: list[np.ndarray] = []
+    came = np.zeros((n + 1, m + 1), dtype=np.int8)
     for i in range(n + 1):
-        for j in range(m + 1):
-            for x, y, cost in steps:
-                if i >= x and j >= y and best[i - x, j - y] < np.inf:
-                    if x and y:
-                        la, lb = sum(a[i - x : i]), sum(b[j - y : j])
-                        cost = cost + abs(la - lb) / max(1, la, lb)
-                    if best[i - x, j - y] + cost < best[i, j] - 1e-12:
-                        best[i, j] = best[i - x, j - y] + cost
-                        back[i, j] = (x, y)
+        best = np.full(m + 1, np.inf)
+        if i == 0:
+            best[0] = 0.0
+        for s, (x, y, cost) in enumerate(steps[:-1]):
+            if x > i or y > m:
+                continue
+            before = rows[i - x][: m + 1 - y] + cost
+            if y:
+                before = before + np.abs((left[i] - left[i - x]) - (right[y:] - right[: m + 1 - y]))
+            better = before < best[y:] - 1e-12
+            best[y:][better] = before[better]
+            came[i, y:][better] = s
+        # blocks of b left out run along the row: cell j is the least of cell k + SKIP * (j - k)
+        ramp = SKIP * np.arange(m + 1)
+        least = np.minimum.accumulate(best - ramp)
+        skipped = np.concatenate(([False], least[:-1] + ramp[1:] < best[1:] - 1e-12))
+        best[skipped] = (least + ramp)[skipped]
+        came[i][skipped] = len(steps) - 1
+        rows.append(best)
+        if i >= GROUP:
+            rows[i - GROUP] = rows[i - GROUP][:0]
     out = []
     i, j = n, m
     while i or j:
-        x, y = back[i, j]
+        x, y, _ = steps[came[i, j]] if i else (0, 1, SKIP)
         i, j = i - x, j - y
         out.append((i, x, j, y))
     return out[::-1]
@@ -79,26 +93,32 @@ def aligned(a: Column, b: Column) -> Column:
 
 
 def interleavings(columns: Sequence[Sequence[str]], target: Sequence[str], most: int = 2) -> int:
-    """In how many ways the columns, each in its order, make up the target; counting stops at most."""
-    from functools import lru_cache
+    """In how many ways the columns, each in its order, make up the target; numbers from most on count as most.
 
+    Walks the target once with the reachable states, how far each column has been read, and the number of ways to each; states that
+    meet are added up, so nothing is tried twice and no stack grows with the text."""
     if sum(map(len, columns)) != len(target):
         return 0
+    states: dict[tuple[int, ...], int] = {(0,) * len(columns): 1}
+    for token in target:
+        after: dict[tuple[int, ...], int] = {}
+        for state, ways in states.items():
+            for c, read in enumerate(state):
+                if columns[c][read : read + 1] == [token]:
+                    to = state[:c] + (read + 1,) + state[c + 1 :]
+                    after[to] = min(most, after.get(to, 0) + ways)
+        states = after
+    return sum(states.values())
+
+
+def interleaved(columns: Column, target: Column) -> Column:
+    """0, 1 or 2 (more than one way) for an array of token arrays and the tokens of a text."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for many, one in batches:
+            yield pd.Series([None if x is None or y is None else interleavings([list(c) for c in x], list(y)) for x, y in zip(many, one)], dtype="Int32")
 
-    @lru_cache(maxsize=None)
-    def ways(at: tuple[int, ...]) -> int:
-        place = sum(at)
-        if place == len(target):
-            return 1
-        n = 0
-        for c, i in enumerate(at):
-            if i < len(columns[c]) and columns[c][i] == target[place]:
-                n += ways((*at[:c], i + 1, *at[c + 1 :]))
-                if n >= most:
-                    return most
-        return n
-
-    return ways(tuple(0 for _ in columns))
+    return F.pandas_udf(run, "int")(columns, target)
 
 
 def restoration(source: Sequence[str], target: Sequence[str], context: int = 6, window: int = 32) -> list[tuple[int, str, str]]:

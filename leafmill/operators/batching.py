@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 MAX_CHARS = 32_000
 
 
-
-
 class Packer:
     """One rule: 'simple' breaks before what no longer fits; 'oversize' lets a unit over the limit join and then breaks;
     'paged' breaks only where the page changes; 'two_level' packs chunks of chapters."""
@@ -26,7 +25,6 @@ class Packer:
     def start(self) -> None:
         self.size, self.batch, self.open, self.page = 0, 1, False, None
         self.chapter: object = None
-        self.chunk: list[int] = []
         self.chunk_size = 0
 
     def add(self, n: int, page: object, chapter: object) -> int:
@@ -77,24 +75,26 @@ def pack(df: DataFrame, keys: list[str], order: str, size: str, rule: str, limit
                     out.append(packer.add(n, p, c))
                 yield batch.assign(batch_no=pd.Series(out, dtype="int32", index=batch.index))
                 continue
-            begin = 0
+            # rows from begin on, and those held, are of the open chunk, whose batch is known when it closes
+            numbers, begin = np.zeros(len(batch), dtype=np.int32), 0
             for i, (key, n, c) in enumerate(zip(groups, sizes, chapters)):
-                fresh = key != current
-                if fresh or c != packer.chapter or packer.chunk_size + n > limit and packer.chunk:
-                    if current is not None and (held or i > begin):
+                fresh, some = key != current, bool(held) or i > begin
+                if fresh or c != packer.chapter or packer.chunk_size + n > limit and some:
+                    if some:
                         at = packer.close_chunk()
-                        held.append(batch.iloc[begin:i])
-                        yield from (h.assign(batch_no=at).astype({"batch_no": "int32"}) for h in held if len(h))
+                        numbers[begin:i] = at
+                        yield from (h.assign(batch_no=np.int32(at)) for h in held)
                     held, begin = [], i
                     if fresh:
                         packer.start()
                         current = key
-                    packer.chapter, packer.chunk, packer.chunk_size = c, [], 0
-                packer.chunk = [1]
+                    packer.chapter, packer.chunk_size = c, 0
                 packer.chunk_size += n
+            if begin:
+                yield batch.iloc[:begin].assign(batch_no=numbers[:begin])
             held.append(batch.iloc[begin:])
         if held:
             at = packer.close_chunk()
-            yield from (h.assign(batch_no=at).astype({"batch_no": "int32"}) for h in held if len(h))
+            yield from (h.assign(batch_no=np.int32(at)) for h in held)
 
     return rows.mapInPandas(run, schema)

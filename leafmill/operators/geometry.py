@@ -31,6 +31,13 @@ def running_matter(lines: DataFrame, least: int = 3) -> DataFrame:
     return found.where((F.col("pages") >= least) & (F.col("running_text") != ""))
 
 
+def running_keys(lines: DataFrame, least: int = 3) -> DataFrame:
+    """Keys of first and last lines that stand, whatever their page numbers, on three pages or more of a file."""
+    ends = lines.groupBy("evidence_id", "page_number").agg(F.array(F.min_by("line_text", "line_no"), F.max_by("line_text", "line_no")).alias("ends"))
+    keys = ends.select("evidence_id", "page_number", F.explode(F.array_distinct(F.transform("ends", T.running_key))).alias("key")).where("key <> ''")
+    return keys.groupBy("evidence_id", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+
+
 def hyphen_candidates(lines: DataFrame) -> DataFrame:
     """Line ends with a hyphen and the next line of the page: the two halves and the word they would make."""
     w = Window.partitionBy("evidence_id", "page_number").orderBy("line_no")

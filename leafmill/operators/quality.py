@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +27,23 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def token_coverage(pairs: DataFrame, a: str, b: str, ids: list[str]) -> DataFrame:
-    """Share of a's tokens, with their counts, that b has; and the same of adjacent pairs of tokens, which shows order."""
-
-    def counted(column: str, name: str) -> DataFrame:
-        own = T.words(T.casefold(column))
-        none = F.array().cast("array<string>")
-        grams = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(none)
-        levels = lambda w: F.concat(F.transform(w, lambda x: F.struct(F.lit("token").alias("level"), x.alias("x"))), F.transform(grams(w), lambda x: F.struct(F.lit("pair").alias("level"), x.alias("x"))))
-        both = F.element_at(F.transform(F.array(own), levels), 1)  # the words are bound once
-        return pairs.select(*ids, F.explode(both).alias("t")).groupBy(*ids, F.col("t.level").alias("level"), F.col("t.x").alias("x")).agg(F.count("*").alias(name))
-
-    both = counted(a, "n_a").join(counted(b, "n_b"), [*ids, "level", "x"], "left")
-    share = lambda level: F.sum(F.when(F.col("level") == level, F.least("n_a", F.coalesce("n_b", F.lit(0))))) / F.sum(F.when(F.col("level") == level, F.col("n_a")))
-    return both.groupBy(*ids).agg(share("token").alias("coverage"), share("pair").alias("order_share"))
+    """Share of a's tokens, with their counts, that b has; and the same of adjacent pairs of tokens, which shows order. A pair of texts
+    is one row and is counted in it. Rows of an a without tokens are left out; order_share is null for an a of one token."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                if x is None or not len(x):
+                    out.append((None, None))
+                    continue
+                x, y = list(x), list(y) if y is not None else []
+                out.append(tuple(None if not u else (Counter(u) & Counter(v)).total() / len(u) for u, v in ((x, y), (list(zip(x, x[1:])), list(zip(y, y[1:]))))))
+            yield pd.DataFrame(out, columns=["coverage", "order_share"], dtype="float64")
+
+    shares = F.pandas_udf(run, "struct<coverage:double,order_share:double>").asNondeterministic()
+    own = lambda c: T.words(T.casefold(c))
+    return pairs.select(*ids, shares(own(a), own(b)).alias("s")).select(*ids, "s.*").where("coverage is not null")
 
 
 def style(df: DataFrame, key: str, text: str) -> DataFrame:

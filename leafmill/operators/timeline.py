@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,21 @@ def frames(seconds: Column, rate: int = 48_000) -> Column:
     return F.floor(seconds * rate + 0.5).cast("long")
 
 
+def line_frames(line: Column, characters_a_second: float = 15.0) -> Column:
+    """Frames a line takes to read; null for an empty one."""
+    return F.when(line != "", frames(F.length(line) / characters_a_second))
+
+
+def running(c: Column | str) -> Column:
+    """Running sums of an array of LONG; nulls count as 0."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([None if x is None else np.cumsum(np.nan_to_num(np.asarray(x, dtype=np.float64))).astype(np.int64) for x in rows], dtype=object)
+
+    return F.pandas_udf(run, "array<long>")(c)
+
+
 def sequential(beats: DataFrame, key: str, place: str, seconds: str) -> DataFrame:
     """start_frame and end_frame of beats that follow each other."""
     rows = beats.withColumn("_f", frames(F.col(seconds)))

@@ -9,10 +9,14 @@ from ..functions import text as T
 from ..sources import deduplicate, table
 from .windows import running_sum
 
-#: Titles of chapters that are no content.
-CONTENTS = ("contents", "table of contents", "cuprins", "sommaire", "inhalt", "índice", "indice")
-BIBLIOGRAPHY = ("bibliography", "references", "bibliografie", "referințe", "works cited")
-LEGAL = "(?i)copyright|all rights reserved|isbn|toate drepturile"
+#: Titles of chapters that are no content, beginnings or ends of titles of bibliographies, what legal matter says.
+CONTENTS = ("contenido", "contents", "cuprins", "indice", "inhaltsverzeichnis", "sommaire", "table des matières", "table of contents", "índice")
+BIBLIOGRAPHY = (
+    "bibliografia", "bibliografie", "bibliografía", "bibliographie", "bibliography", "literaturverzeichnis", "quellen", "references", "referencias", "referinte", "referințe", "riferimenti", "références", "sources", "works cited",
+)
+LEGAL = "(?i)(?:©|copyright|all rights reserved|toate drepturile rezervate|todos los derechos reservados|tutti i diritti riservati|alle rechte vorbehalten|isbn(?![a-z0-9_]))"
+#: Headings whose text is left out up to the next heading.
+SKIPPED = ("bibliography", "references", "bibliografie", "referințe", "cuprins", "contents", "table of contents")
 
 
 def document_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -215,14 +215,14 @@ _HEADING_KEY = "regexp_replace(regexp_replace(" + _FOLD.format("{}") + ", '^[ .:
 
 
 @query(f"""WITH {_UNITS}, h AS (SELECT *, sum(CASE WHEN regexp_full_match(kind, 'h[1-6]') THEN 1 ELSE 0 END) OVER (PARTITION BY job_kind, job_id ORDER BY unit_no) AS g FROM u), t AS (SELECT job_kind, job_id, g, {_HEADING_KEY.format('plain_text')} AS k FROM h WHERE regexp_full_match(kind, 'h[1-6]'))
-  SELECT h.job_kind, h.job_id, count(*) AS units, count(*) FILTER (t.k IN ('contents', 'table of contents', 'cuprins', 'bibliography', 'references', 'bibliografie')) AS skipped FROM h LEFT JOIN t ON h.job_kind = t.job_kind AND h.job_id = t.job_id AND h.g = t.g GROUP BY ALL""")
+  SELECT h.job_kind, h.job_id, count(*) AS units, count(*) FILTER (regexp_full_match(t.k, '(?:selected )?(?:bibliography|references|bibliografie|referințe|cuprins|contents|table of contents)')) AS skipped FROM h LEFT JOIN t ON h.job_kind = t.job_kind AND h.job_id = t.job_id AND h.g = t.g GROUP BY ALL""")
 def skipped_units(spark, sf_dir):
     """Units under a heading of contents or references, up to the next heading."""
     is_heading = F.col("kind").rlike("^h[1-6]$")
     rows = windows.running_sum(units.job_units(spark, sf_dir, "kind", "plain_text"), ["job_kind", "job_id"], "unit_no", F.when(is_heading, 1).otherwise(0), "g")
     heads = rows.where(is_heading).select("job_kind", "job_id", "g", T.heading_key("plain_text").alias("k"))
     both = rows.select("job_kind", "job_id", "g").join(heads, ["job_kind", "job_id", "g"], "left")
-    skip = F.col("k").isin("contents", "table of contents", "cuprins", "bibliography", "references", "bibliografie")
+    skip = F.col("k").rlike(f"^(?:selected )?(?:{'|'.join(units.SKIPPED)})$")
     return both.groupBy("job_kind", "job_id").agg(F.count("*").alias("units"), F.count_if(skip).alias("skipped"))
 
 

@@ -25,6 +25,7 @@ _SPACE = "[\t\n\x0b\f\r \xa0  -     　﻿]"
 _COMPACT = f"regexp_replace(regexp_replace({{}}, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 _LINES = f"""lines AS (SELECT doc_id, i AS line_no, {_COMPACT.format('part')} AS unit_text FROM (
   SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS part FROM documents) WHERE {_COMPACT.format('part')} <> '')"""
+_BARE = "regexp_replace(translate(lower({}), '" + T.accents()[0] + "', '" + T.accents()[1] + "'), '" + T.DIACRITICS + "', '', 'g')"
 _PAIRS = """pairs AS (SELECT doc_id AS id_a, lead(doc_id) OVER (PARTITION BY book_id, chapter_no ORDER BY doc_id) AS id_b FROM documents),
   p AS (SELECT id_a, id_b, a.text AS text_a, b.text AS text_b FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b)"""
 _PAGE_LINES = """w AS (SELECT DISTINCT word_id, evidence_id, book_id, page_number, line_no, word_no, text, bold, italic, size_pt, x0, x1, top, bottom, font_family FROM evidence_words),
@@ -63,10 +64,13 @@ def doc_plain_words(spark, sf_dir):
     return rows.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct(F.transform("w", T.casefold))).alias("distinct_words"))
 
 
-@query(f"SELECT word, count(*) AS times, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_FOLD.format('unnest(' + _RUNS.format('text') + ')')} AS word FROM documents) GROUP BY word HAVING count(*) >= 10")
+@query(f"SELECT word, count(*) AS times, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_FOLD.format('unnest(' + _RUNS.format('text') + ')')} AS word FROM documents) GROUP BY word")
 def word_frequencies(spark, sf_dir):
-    rows = documents(spark, sf_dir, "doc_id", F.explode(T.words("text")).alias("w")).groupBy(T.casefold("w").alias("word"), "doc_id").agg(F.count("*").alias("n"))
-    return rows.groupBy("word").agg(F.sum("n").alias("times"), F.count("*").alias("docs")).where("times >= 10")
+    """Every word with its times and documents: one shuffle by word, summed map-side; a document is one row."""
+    words = T.words(T.casefold("text"))
+    each = lambda w, times, docs: F.transform(w, lambda x: F.struct(x.alias("word"), F.lit(times).alias("times"), F.lit(docs).alias("docs")))
+    both = F.flatten(F.transform(F.array(words), lambda w: F.concat(each(w, 1, 0), each(F.array_distinct(w), 0, 1))))
+    return documents(spark, sf_dir, F.explode(both).alias("w")).groupBy("w.word").agg(F.sum("w.times").alias("times"), F.sum("w.docs").alias("docs"))
 
 
 @query(r"""SELECT doc_id, len(s) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (
@@ -176,14 +180,15 @@ def chapter_assignment(spark, sf_dir):
     return units.assign_chapters(units.job_units(spark, sf_dir, "kind")).select("unit_key", "chapter")
 
 
+_BIBLIOGRAPHY = "bibliografia|bibliografie|bibliografía|bibliographie|bibliography|literaturverzeichnis|quellen|references|referencias|referinte|referințe|riferimenti|références|sources|works cited"
 _CHAPTERS = f"""WITH {_UNITS},
   c AS (SELECT *, sum(CASE WHEN kind = 'h1' THEN 1 ELSE 0 END) OVER (PARTITION BY job_kind, job_id ORDER BY unit_no) AS chapter, {_WORDS.format('plain_text')} AS words FROM u),
   g AS (SELECT job_kind, job_id, chapter, min(CASE WHEN kind = 'h1' THEN plain_text END) AS title, sum(words) AS words, coalesce(sum(CASE WHEN kind = 'p' THEN words END), 0) AS prose_words, count(*) AS units,
-    bool_and(regexp_matches(plain_text, '(?i)copyright|all rights reserved|isbn|toate drepturile')) AS legal FROM c GROUP BY ALL),
+    bool_and(regexp_matches(plain_text, '(?i)(?:©|copyright|all rights reserved|toate drepturile rezervate|todos los derechos reservados|tutti i diritti riservati|alle rechte vorbehalten|isbn\\b)')) AS legal FROM c GROUP BY ALL),
   k AS (SELECT *, regexp_replace(regexp_replace({_FOLD.format("coalesce(title, '')")}, '^[ .:;—–-]+|[ .:;—–-]+$', '', 'g'), '^ | $', '', 'g') AS key FROM g)
   SELECT job_kind, job_id, CAST(chapter AS BIGINT) AS chapter, CAST(words AS BIGINT) AS words, CAST(prose_words AS BIGINT) AS prose_words, units, CASE
-    WHEN key IN ('contents', 'table of contents', 'cuprins', 'sommaire', 'inhalt', 'índice', 'indice') THEN 'contents'
-    WHEN regexp_matches(key, '^(?:bibliography|references|bibliografie|referințe|works cited)(?: |$)| (?:bibliography|references|bibliografie|referințe|works cited)$') THEN 'bibliography'
+    WHEN key IN ('contenido', 'contents', 'cuprins', 'indice', 'inhaltsverzeichnis', 'sommaire', 'table des matières', 'table of contents', 'índice') THEN 'contents'
+    WHEN regexp_matches(key, '^(?:{_BIBLIOGRAPHY})(?: |$)| (?:{_BIBLIOGRAPHY})$') THEN 'bibliography'
     WHEN chapter > 0 AND prose_words < 40 AND words < 80 THEN 'structural-or-title-page' WHEN chapter = 0 AND prose_words < 80 THEN 'structural-front-matter' WHEN legal THEN 'legal-or-metadata' END AS reason FROM k"""
 
 
@@ -389,8 +394,8 @@ def token_mismatch(spark, sf_dir):
 
 @query()
 def block_alignment(spark, sf_dir):
-    """Least-cost alignment of neighbours' lines by their lengths."""
-    sizes = lambda c: F.transform(F.filter(F.transform(F.split(c, "\n"), T.compact), lambda x: x != ""), F.length)
+    """Least-cost alignment of neighbours' lines by their sentences; a line without a closing mark is one."""
+    sizes = lambda c: F.transform(F.filter(F.transform(F.split(c, "\n"), T.compact), lambda x: x != ""), lambda x: F.greatest(F.lit(1), F.size(T.sentences_closed(x))))
     rows = pairs(spark, sf_dir).select("id_a", "id_b", F.explode(alignment.aligned(sizes("text_a"), sizes("text_b"))).alias("s"))
     return rows.select("id_a", "id_b", "s.*")
 
@@ -410,6 +415,14 @@ def canned_phrases(spark, sf_dir):
 # pages of words
 
 
+@query(f"""WITH {_PAGE_LINES}, e AS (SELECT evidence_id, page_number, line_text FROM l QUALIFY line_no = min(line_no) OVER (PARTITION BY evidence_id, page_number) OR line_no = max(line_no) OVER (PARTITION BY evidence_id, page_number)),
+  k AS (SELECT DISTINCT evidence_id, page_number, regexp_replace(lower(regexp_extract({_COMPACT.format('line_text')}, '^(.{{6,}}?)\\s*[·•|]\\s*\\d{{1,4}}$', 1)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key FROM e)
+  SELECT evidence_id, key, count(*) AS pages FROM k WHERE key <> '' GROUP BY ALL HAVING count(*) >= 3""")
+def running_keys(spark, sf_dir):
+    words = geometry.page_words(spark, sf_dir, *geometry.LINE, "word_no", "text", "top", "bottom", "x0", "x1", "size_pt")
+    return geometry.running_keys(geometry.page_lines(words))
+
+
 @query(f"WITH {_PAGE_LINES}, f AS (SELECT evidence_id, page_number, line_text FROM l QUALIFY row_number() OVER (PARTITION BY evidence_id, page_number ORDER BY line_no) = 1) SELECT evidence_id, {_COMPACT.format('line_text')} AS running_text, count(*) AS pages FROM f GROUP BY ALL HAVING count(*) >= 2 AND {_COMPACT.format('line_text')} <> ''")
 def running_matter(spark, sf_dir):
     words = geometry.page_words(spark, sf_dir, *geometry.LINE, "word_no", "text", "top", "bottom", "x0", "x1", "size_pt")
@@ -482,27 +495,49 @@ def grid_coverage(spark, sf_dir):
 # ranking
 
 
-@query(rf"""WITH s AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, unnest(x) AS sentence FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).+?[.!?]+["''”’»)\]]*(?:\s|$)'), lambda y: {_COMPACT.format('y')}) AS x FROM documents)),
-  k AS (SELECT * FROM s WHERE length(sentence) >= 16), w AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '\p{{L}}{{4,}}')) AS word FROM k),
-  f AS (SELECT doc_id, word, count(*) AS freq FROM w GROUP BY ALL), e AS (SELECT doc_id, pos, word, count(*) AS n FROM w GROUP BY ALL),
-  c AS (SELECT doc_id, pos, sum(n * CASE WHEN word IN ({', '.join(f"'{x}'" for x in ranking.STOP)}) THEN 0 ELSE ln(1 + freq) END) / sqrt(sum(n)) AS score FROM e JOIN f USING (doc_id, word) GROUP BY ALL),
-  r AS (SELECT k.doc_id, k.pos, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY k.doc_id ORDER BY round(coalesce(score, 0), 9) DESC, k.pos) AS rank FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.pos = c.pos)
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, rank, round(score, 6) AS score FROM r WHERE rank <= 18""")
+#: Pieces over 15 characters, cut behind closing marks; the tail counts as one.
+_SEGMENTS = r"""s AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, unnest(x) AS sentence FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:[.!?]+["''”’»)\]]*(?:\s|$)|\z)'), lambda y: """ + _COMPACT.format("y") + """), lambda y: length(y) > 15) AS x FROM documents))"""
+
+
+@query(rf"""WITH {_SEGMENTS}, t AS (SELECT doc_id, unnest(regexp_extract_all({_BARE.format('text')}, '\p{{L}}{{4,}}')) AS word FROM documents), f AS (SELECT doc_id, word, count(*) AS freq FROM t GROUP BY ALL),
+  w AS (SELECT doc_id, pos, unnest(regexp_extract_all({_BARE.format('sentence')}, '\p{{L}}{{4,}}')) AS word FROM s),
+  c AS (SELECT w.doc_id, pos, sum(CASE WHEN w.word IN ({', '.join(f"'{x}'" for x in ranking.STOP)}) THEN 0 ELSE ln(1 + coalesce(freq, 0)) END) / sqrt(count(*)) AS score FROM w LEFT JOIN f ON w.doc_id = f.doc_id AND w.word = f.word GROUP BY ALL),
+  r AS (SELECT s.doc_id, s.pos, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(coalesce(score, 0), 9) DESC, s.pos) AS rank FROM s LEFT JOIN c ON s.doc_id = c.doc_id AND s.pos = c.pos)
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 18""")
 def top_sentences(spark, sf_dir):
     return ranking.top_sentences(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").select("doc_id", "pos", "rank", "score")
 
 
-@query()
+def _matching_sql(pattern: str) -> str:
+    return rf"""WITH {_SEGMENTS}, m AS (SELECT doc_id, pos, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM s WHERE regexp_matches({_BARE.format('sentence')}, '\b(?:{'|'.join(pattern)})'))
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(place AS INTEGER) AS place, sentence FROM m WHERE place <= 8"""
+
+
+def _matching(spark, sf_dir, words) -> DataFrame:
+    return ranking.matching_sentences(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", words).select("doc_id", "pos", "place", "sentence")
+
+
+@query(_matching_sql(ranking.TENSION))
 def tension_sentences(spark, sf_dir):
-    return ranking.matching_sentences(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", ranking.TENSION).select("doc_id", "pos", "place", "sentence")
+    return _matching(spark, sf_dir, ranking.TENSION)
+
+
+@query(_matching_sql(ranking.NOVELTY))
+def novelty_sentences(spark, sf_dir):
+    return _matching(spark, sf_dir, ranking.NOVELTY)
+
+
+@query(_matching_sql(ranking.LIMITS))
+def limitation_sentences(spark, sf_dir):
+    return _matching(spark, sf_dir, ranking.LIMITS)
 
 
 def _genre_sql() -> str:
-    sums = {g: " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in ws) for g, ws in ranking.GENRES.items()}
+    sums = {g: " + ".join(f"CASE WHEN contains(bare, '{w}') THEN 1 ELSE 0 END" for w in ws) for g, ws in ranking.GENRES.items()}
     cols = ", ".join(f"{s} AS {g}" for g, s in sums.items())
     names = list(ranking.GENRES)
     case = " ".join(f"WHEN {g} = greatest({', '.join(names)}) THEN '{g}'" for g in names)
-    return f"SELECT *, CASE WHEN greatest({', '.join(names)}) = 0 THEN 'general' {case} END AS genre FROM (SELECT doc_id, {cols} FROM documents)"
+    return f"SELECT *, CASE WHEN greatest({', '.join(names)}) = 0 THEN 'general' {case} END AS genre FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, {_BARE.format('text')} AS bare FROM documents))"
 
 
 @query(_genre_sql())
@@ -634,8 +669,11 @@ def book_modes(spark, sf_dir):
 @query(f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, CAST(floor(length(unit_text) / 15.0 * 48000 + 0.5) AS BIGINT) AS f FROM lines), e AS (SELECT doc_id, line_no, f, sum(f) OVER (PARTITION BY doc_id ORDER BY line_no) AS end_frame FROM b)
   SELECT doc_id, line_no, CAST(end_frame - f AS BIGINT) AS start_frame, CAST(end_frame AS BIGINT) AS end_frame FROM e""")
 def sequential_timeline(spark, sf_dir):
-    rows = units.document_lines(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "line_no", (F.length("unit_text") / 15.0).alias("seconds"))
-    return timeline.sequential(rows, "doc_id", "line_no", "seconds").select("doc_id", "line_no", "start_frame", "end_frame")
+    """A document's lines are one row, so their ends are summed in it and nothing is shuffled."""
+    lines = F.transform(F.split("text", "\n"), T.compact)
+    rows = documents(spark, sf_dir, "doc_id", F.transform(lines, lambda x: timeline.line_frames(x)).alias("f"))
+    ends = rows.select("doc_id", F.posexplode(F.arrays_zip("f", timeline.running("f").alias("end_frame"))).alias("i", "x")).where("x.f is not null")
+    return ends.select("doc_id", (F.col("i") + 1).alias("line_no"), (F.col("x.end_frame") - F.col("x.f")).alias("start_frame"), "x.end_frame")
 
 
 @query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS beat, length(unit_text) AS length FROM lines),
