@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,6 +37,21 @@ def assign_chapters(units: DataFrame) -> DataFrame:
     return running_sum(units, ["job_kind", "job_id"], "unit_no", F.when(F.col("kind") == "h1", 1).otherwise(0), "chapter")
 
 
+def exclusion(title: Column, front: Column, words: Column, prose: Column, legal: Column) -> Column:
+    """Why a chapter is left out; null for one that is content. front: it is what stands before the first chapter."""
+    key = T.heading_key(F.coalesce(title, F.lit("")))
+    bibliography = F.lit(False)
+    for p in BIBLIOGRAPHY:
+        bibliography = bibliography | (key == p) | key.startswith(p + " ") | key.endswith(" " + p)
+    return (
+        F.when(key.isin(*CONTENTS), "contents")
+        .when(bibliography, "bibliography")
+        .when(~front & (prose < 40) & (words < 80), "structural-or-title-page")
+        .when(front & (prose < 80), "structural-front-matter")
+        .when(legal, "legal-or-metadata")
+    )
+
+
 def chapter_table(units: DataFrame) -> DataFrame:
     """Per chapter: title, words, prose words, whether all units are legal matter, and why it is left out, if it is."""
     rows = units.select("job_kind", "job_id", "chapter", "unit_no", "kind", "plain_text", T.word_count("plain_text").alias("words"))
@@ -47,17 +62,7 @@ def chapter_table(units: DataFrame) -> DataFrame:
         F.count("*").alias("units"),
         F.bool_and(F.col("plain_text").rlike(LEGAL)).alias("legal"),
     )
-    key = T.heading_key(F.coalesce("title", F.lit("")))
-    bibliography = F.lit(False)
-    for p in BIBLIOGRAPHY:
-        bibliography = bibliography | (key == p) | key.startswith(p + " ") | key.endswith(" " + p)
-    reason = (
-        F.when(key.isin(*CONTENTS), "contents")
-        .when(bibliography, "bibliography")
-        .when((F.col("chapter") > 0) & (F.col("prose_words") < 40) & (F.col("words") < 80), "structural-or-title-page")
-        .when((F.col("chapter") == 0) & (F.col("prose_words") < 80), "structural-front-matter")
-        .when(F.col("legal"), "legal-or-metadata")
-    )
+    reason = exclusion(F.col("title"), F.col("chapter") == 0, F.col("words"), F.col("prose_words"), F.col("legal"))
     return out.withColumn("reason", reason).withColumn("included", F.col("reason").isNull())
 
 

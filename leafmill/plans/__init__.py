@@ -1,3 +1,3 @@
-from . import more, registry
+from . import more, registry, web
 
-__all__ = ["more", "registry"]
+__all__ = ["more", "registry", "web"]
