@@ -18,6 +18,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ TRAIN_ROWS, TRAIN_PAGES, TRAIN_PARAGRAPHS = 5000, 400, 1500
 
 #: By how much a known tag is to outweigh the wrong one.
 MARGIN = 8.0
+#: Scores a task remembers.
+KEPT = 200_000
 #: Turns over the samples.
 ROUNDS = 12
 
@@ -46,6 +49,7 @@ _GAP = re.compile(r"\s+")
 #: Scripts without spaces; the next two write closing marks, which a block may lack.
 _EAST = re.compile(r"[぀-ヿ一-鿿]")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ一-鿿]")
+_CLOSERS = "\"'”’“)]」』›»   \n"
 _STRONG = frozenset("!?؟！？;;")
 _FULL = frozenset("।॥。｡")
 #: A word is a usual beginning if at least one in so many of its occurrences begins a sample.
@@ -121,29 +125,57 @@ class Lexicon:
         return "small" if low != key and self.bare[low] > 0 else "rare" if begins > 0 else "other"
 
 
-def _features(text: str, start: int, end: int, since: int, known: Lexicon) -> list[str]:
-    """Emission features of a candidate text[start:end], a mark with its closers, in a sentence begun at since."""
+class Look(NamedTuple):
+    """What the emissions look at around a mark."""
+
+    mark: str  # with its closers
+    next: str  # the sign right behind, '' for a letter or digit
+    opener: str
+    case: str
+    key: str
+    word: str  # before the mark
+    digits: str  # 'True' or 'False' of the word before that, '' where there is none
+    quoted: bool
+
+
+def _look(text: str, start: int, end: int, since: int) -> Look:
+    """Around the candidate text[start:end], a mark with its closers, in a sentence begun at since."""
     mark = text[start:end]
-    last = mark.rstrip("\"'”’“)]」』›»   \n")
-    closers = mark[len(last) :]
     n = _NEXT.match(text, end)
-    opener, c = n[1], n[2]
-    case = _case(c)
-    word = _word_before(text, since, start)
-    head = h[0] if (h := _SHOWN.search(text, since, start)) else ""
-    quoted = bool(closers.strip("   \n)]")) and head != "" and head in _OPEN
+    after = text[end : end + 1]
+    at = n.end() - len(n[2])
+    if _UNSPACED.match(text, at):
+        key = text[at : at + (4 if _THAI.match(text, at) else 2)]
+    else:
+        w = _TOKEN.match(text, at)
+        key = w[0] if w else ""
+    word = digits = ""
+    if mark == ".":
+        word = _word_before(text, since, start)
+        gap = start - len(word)
+        while gap > since and (text[gap - 1].isspace() or text[gap - 1] in _STOP):
+            gap -= 1
+        if before := _word_before(text, since, gap):
+            digits = str(before.isdigit())
+    quoted = False
+    if len(mark) > 1 and (closers := mark[len(mark.rstrip(_CLOSERS)) :]) and closers.strip("   \n)]"):
+        head = _SHOWN.search(text, since, start)
+        quoted = bool(head) and head[0] in _OPEN
+    return Look(mark, "" if after.isalnum() else after, n[1], _case(n[2]), key, word, digits, quoted)
+
+
+def _features(look: Look, known: Lexicon) -> list[str]:
+    """Emission features of a mark."""
+    mark, after, opener, case, key, word, digits, quoted = look
+    last = mark.rstrip(_CLOSERS)
+    closers = mark[len(last) :]
     kind = "s" if any(x in _STRONG for x in last) else "f" if any(x in _FULL for x in last) else "e" if "…" in last or ".." in last else "p"
-    key = start_key(text, end)
     begins = known.next_of(key)
-    gap = start - len(word)
-    while gap > since and (text[gap - 1].isspace() or text[gap - 1] in _STOP):
-        gap -= 1
-    before = _word_before(text, since, gap) if kind == "p" else ""
     out = [
         f"m={kind}|{case}",
         f"m2={last[:2]}|{bool(closers)}|{case}",
         f"q={quoted}|{kind}|{case}|{opener[:1]}",
-        f"c={closers[:1]}|{case}|{text[end : end + 1] if not text[end : end + 1].isalnum() else ''}",
+        f"c={closers[:1]}|{case}|{after}",
         f"o={opener[:1]}|{kind}|{case}",
         f"k={key if not _UNSPACED.match(key) else key[:1]}|{quoted}",
     ]
@@ -151,7 +183,7 @@ def _features(text: str, start: int, end: int, since: int, known: Lexicon) -> li
         out.append(f"n={quoted}|{kind}|{begins}")
     if kind == "p" and not closers:
         bare, shape, low = known.bare_of(word), _shape(word), word.lower()
-        out += [f"w={low}", f"w2={low}|{case}|{begins}", f"b={bare}|{case}|{begins}", f"s={shape}|{case}", f"s2={bare}|{shape}|{case}|{begins}", f"l={len(word)}|{bare}", f"v={'.' in word}|{case}", f"d={before.isdigit() if before else ''}|{low}|{case}"]
+        out += [f"w={low}", f"w2={low}|{case}|{begins}", f"b={bare}|{case}|{begins}", f"s={shape}|{case}", f"s2={bare}|{shape}|{case}|{begins}", f"l={len(word)}|{bare}", f"v={'.' in word}|{case}", f"d={digits}|{low}|{case}"]
     return out
 
 
@@ -174,6 +206,18 @@ class Tagger:
 
     def __init__(self, weights: Mapping[str, float], turn: Sequence[Sequence[Sequence[float]]], known: Lexicon) -> None:
         self.weights, self.turn, self.known = weights, turn, known
+        self._scores: dict[object, float] = {}
+
+    def score(self, text: str, start: int, end: int, mark: bool, since: int) -> float:
+        """Weight of a boundary at a place, remembered for places that look alike. Only for a tagger that no longer learns."""
+        look = _look(text, start, end, since) if mark else (text[max(0, start - 4) : start], end > start, text[end : end + 8], start_key(text, end), text[max(0, start - 1) : start])
+        s = self._scores.get(look)
+        if s is None:
+            if len(self._scores) >= KEPT:
+                self._scores.clear()
+            features = _features(look, self.known) if mark else _gap_features(text, start, end, self.known)
+            s = self._scores[look] = sum(self.weights.get(x, 0.0) for x in features)
+        return s
 
     def candidates(self, text: str) -> list[tuple[int, int, bool]]:
         """Places where a sentence can end: (start, end, whether it is a mark)."""
@@ -189,7 +233,7 @@ class Tagger:
         return [x for x in out if x[1] < size]
 
     def emission(self, text: str, start: int, end: int, mark: bool, since: int) -> list[str]:
-        return _features(text, start, end, since, self.known) if mark else _gap_features(text, start, end, self.known)
+        return _features(_look(text, start, end, since), self.known) if mark else _gap_features(text, start, end, self.known)
 
     def decode(self, text: str, places: Sequence[tuple[int, int, bool]], told: Sequence[bool | None] = (), force: bool = False, memo: dict | None = None) -> list[bool]:
         """Viterbi over the places: their tags. told: known tags, which are favoured against by MARGIN, or with force obeyed.
@@ -209,14 +253,13 @@ class Tagger:
                 at = since if mark else -1
                 s = scores.get(at)
                 if s is None:
-                    f = None if memo is None else memo.get((i, at))
-                    if f is None:
-                        f = self.emission(text, start, end, mark, since)
-                        if memo is not None:
-                            memo[i, at] = f
-                    s = 0.0
-                    for x in f:
-                        s += weights.get(x, 0.0)
+                    if memo is None:
+                        s = self.score(text, start, end, mark, since)
+                    else:
+                        f = memo.get((i, at))
+                        if f is None:
+                            f = memo[i, at] = self.emission(text, start, end, mark, since)
+                        s = sum(weights.get(x, 0.0) for x in f)
                     scores[at] = s
                 for to in (0, 1):
                     value = score + (s if to else -s) + row[tag][to]
