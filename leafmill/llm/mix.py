@@ -183,3 +183,12 @@ def p7_shares(spark, sf_dir: str) -> DataFrame:
 def p7_copies(spark, sf_dir: str) -> DataFrame:
     copies, _ = mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
     return copies.select("mix_id", "source", F.col("item").alias("doc_id"), "copies")
+
+
+def p7_whole(spark, sf_dir: str) -> DataFrame:
+    """Per mix and source: whether no document is used more often than it may be, and whether the tokens reached are within two per
+    cent, and twenty of its documents on average, of what the target and the repeats allow."""
+    report = mix_report(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    allowed = F.least(F.col("target_tokens"), (F.col("max_repeats") * F.col("tokens")).cast("double"))
+    slack = 0.02 * allowed + 20 * F.col("tokens") / F.greatest(F.lit(1), F.col("documents"))
+    return report.select("mix_id", "source", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("reached_tokens") - allowed) <= slack).alias("near"))

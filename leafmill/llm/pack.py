@@ -176,3 +176,10 @@ def p6_fill(spark, sf_dir: str) -> DataFrame:
     placed = document_containers(spark, sf_dir)
     bins = placed.groupBy("pack_id", "capacity", "container").agg(F.sum("size").alias("tokens"))
     return bins.groupBy("pack_id", "capacity").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * F.first("capacity"))).alias("filled"))
+
+
+def p6_whole(spark, sf_dir: str) -> DataFrame:
+    """By capacity: documents and tokens placed, and whether every container is within it."""
+    placed = document_containers(spark, sf_dir)
+    bins = placed.groupBy("pack_id", "capacity", "container").agg(F.sum("size").alias("tokens"), F.count_if(F.col("part") == 1).alias("documents"))
+    return bins.groupBy("pack_id").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.bool_and(F.col("tokens") <= F.col("capacity")).alias("fits"))

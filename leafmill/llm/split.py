@@ -196,3 +196,13 @@ def p5_pieces(spark, sf_dir: str) -> DataFrame:
     """Every piece of every oversized unit: the pieces without their overlaps joined give the unit back."""
     cut = unit_pieces(spark, sf_dir).select("unit_key", "source", "overlap_chars", F.posexplode("pieces").alias("piece_no", "span"))
     return cut.select("unit_key", (F.col("piece_no") + 1).alias("piece_no"), F.col("span.start").alias("start_pos"), F.col("span.end").alias("end_pos"), F.expr("substring(source, span.start + 1, span.end - span.start)").alias("piece"))
+
+
+def p5_whole(spark, sf_dir: str) -> DataFrame:
+    """Of every oversized unit its characters, whether all pieces are within the limit, and whether they make it up with the overlaps
+    exactly as set."""
+    cut = unit_pieces(spark, sf_dir).withColumn("_over", F.least(F.coalesce("overlap_chars", F.lit(0)), F.col("max_chars") - 1))
+    sizes = F.aggregate("pieces", F.lit(0), lambda total, p: total + p["end"] - p["start"])
+    steps = F.forall(F.arrays_zip(F.slice("pieces", 1, F.size("pieces") - 1).alias("a"), F.slice("pieces", 2, F.size("pieces")).alias("b")), lambda x: x["b"]["start"] == x["a"]["end"] - F.col("_over"))
+    whole = (sizes - F.col("_over") * (F.size("pieces") - 1) == F.length("source")) & steps
+    return cut.select("unit_key", F.length("source").alias("characters"), F.forall("pieces", lambda p: p["end"] - p["start"] <= F.col("max_chars")).alias("fits"), whole.alias("whole"))
