@@ -378,11 +378,10 @@ def positional_zip(spark, sf_dir):
 
 @query()
 def similar_neighbours(spark, sf_dir):
-    """Ratcliff-Obershelp similarity of the first lines of neighbours."""
-    p = pairs(spark, sf_dir)
-    first = lambda c: T.compact(F.regexp_extract(c, "^\\s*([^\\n]*)", 1))
-    rows = p.select("id_a", "id_b", first("text_a").alias("a"), first("text_b").alias("b"))
-    return rows.select("id_a", "id_b", F.round(U.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Ratcliff-Obershelp similarity of neighbours' lines of the same place, all lines of both texts; 0 where one has no such line."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), T.compact), lambda x: x != "")
+    rows = pairs(spark, sf_dir).select("id_a", "id_b", F.posexplode(F.arrays_zip(lines("text_a").alias("a"), lines("text_b").alias("b"))).alias("place", "l"))
+    return rows.select("id_a", "id_b", "place", F.coalesce(F.round(U.similarity(F.col("l.a"), F.col("l.b")), 6), F.lit(0.0)).alias("similarity"))
 
 
 @query()
