@@ -28,7 +28,7 @@ from ..sources import table
 from .markup import unescape
 
 #: At most so many sample rows, pages (about, chosen by a hash of their ids) and paragraphs of these are read to train on.
-TRAIN_ROWS, TRAIN_PAGES, TRAIN_PARAGRAPHS = 5000, 200, 800
+TRAIN_ROWS, TRAIN_PAGES, TRAIN_PARAGRAPHS = 5000, 800, 3000
 
 #: By how much a known tag is to outweigh the wrong one.
 MARGIN = 8.0
