@@ -33,6 +33,15 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def inventory(texts: Iterable[str]) -> tuple[Counter, set[str]]:
+    """The words of texts with how often they come, and the characters, as they stand and small."""
+    types, letters = Counter(), set()
+    for text in texts:
+        types.update(words(text))
+        letters.update(text, text.lower())
+    return types, letters
+
+
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n-gram that ends at each position from n - 1 on."""
     with np.errstate(over="ignore"):
@@ -97,12 +106,20 @@ class CharModels:
         models = CharModels._fit(texts)
         if calibrate:
             models._calibrate(texts)
-        digest = hashlib.sha256("\0".join(models.langs).encode())
-        for arrays in (models.grams, models.logs):
+        return models._signed()
+
+    @staticmethod
+    def of_counts(types: dict[str, Counter], letters: dict[str, set[str]]) -> "CharModels":
+        """What fit() gives without calibration, from each language's words with how often they come, and its characters (inventory())."""
+        return CharModels._counted(types, letters)._signed()
+
+    def _signed(self) -> "CharModels":
+        digest = hashlib.sha256("\0".join(self.langs).encode())
+        for arrays in (self.grams, self.logs):
             for x in arrays:
                 digest.update(x.tobytes())
-        models.key = digest.hexdigest()
-        return models
+        self.key = digest.hexdigest()
+        return self
 
     def _calibrate(self, texts: dict[str, list[str]]) -> None:
         """Rejection limits and confidence from held-out folds. A fold's texts are scored by models of the others: under their own
@@ -170,14 +187,17 @@ class CharModels:
 
     @staticmethod
     def _fit(texts: dict[str, list[str]]) -> "CharModels":
-        langs = sorted(texts)
+        both = {lang: inventory(own) for lang, own in texts.items()}
+        return CharModels._counted({lang: types for lang, (types, _) in both.items()}, {lang: letters for lang, (_, letters) in both.items()})
+
+    @staticmethod
+    def _counted(types: dict[str, Counter], letters: dict[str, set[str]]) -> "CharModels":
+        langs = sorted(letters)
         models = CharModels(langs)
         counts: list[list[Counter]] = []
         for lang in langs:
-            raw, types = Counter(), Counter()
-            for text in texts[lang]:
-                types.update(words(text))
-            for w, times in types.items():
+            raw = Counter()
+            for w, times in types.get(lang, {}).items():
                 codes = (_BOS, *map(ord, w), _EOS)
                 for i in range(1, len(codes)):
                     for n in range(1, min(ORDER, i + 1) + 1):
@@ -194,7 +214,7 @@ class CharModels:
                     if len(gram) == n and gram not in own[n]:
                         own[n][gram] = 1
             counts.append(own)
-            models.alphabets[lang] = frozenset("".join(texts[lang]).lower()) | frozenset("".join(texts[lang]))
+            models.alphabets[lang] = frozenset(letters[lang])
         k = len(langs)
         totals = [[Counter() for _ in range(ORDER + 1)] for _ in langs]
         kinds = [[Counter() for _ in range(ORDER + 1)] for _ in langs]

@@ -9,6 +9,8 @@ characters) is found and left as it is.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -18,10 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import table
-from .charmodels import WORD, CharModels
+from .charmodels import WORD, CharModels, inventory
 
-#: At most so many sample rows are read to fit the models.
-TRAIN_ROWS = 5000
 #: Encodings text may have been read as by mistake, and single-byte and multi-byte ones it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp1257", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "iso8859-16", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac-roman", "cp874")
 SINGLE = ("cp1252", "cp1250", "iso8859-2", "iso8859-16", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp737", "cp1256", "iso8859-6", "cp874", "mac-roman", "cp850", "cp437", "cp852")
@@ -615,13 +615,31 @@ _LONG = re.compile(r"[\x80-⹿](?:[0-9}{|\[\]@-_]?[\x80-⹿]){3}")
 
 
 def fitted(spark, sf_dir: str, calibrate: bool = False) -> CharModels:
-    rows = table(spark, sf_dir, "language_samples", "lang", "text").where("text is not null and lang is not null").limit(TRAIN_ROWS).collect()
-    return CharModels.fit([(r[0], r[1]) for r in rows], calibrate)
+    """Models of all samples. Tasks count the words, so the driver gets each word of a language once and no texts; calibration holds
+    out texts and needs them there."""
+    rows = table(spark, sf_dir, "language_samples", "lang", "text").where("text <> '' and lang <> ''")
+    if calibrate:
+        return CharModels.fit([(r[0], r[1]) for r in rows.collect()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for samples in batches:
+            for lang, texts in samples.groupby("lang")["text"]:
+                words, letters = inventory(unicodedata.normalize("NFC", t) for t in texts)
+                yield pd.DataFrame([(lang, True, w, n) for w, n in words.items()] + [(lang, False, c, 1) for c in letters], columns=["lang", "is_word", "item", "n"])
+
+    types: dict[str, Counter] = defaultdict(Counter)
+    letters: dict[str, set[str]] = defaultdict(set)
+    for lang, is_word, item, n in rows.mapInPandas(run, "lang string, is_word boolean, item string, n long").groupBy("lang", "is_word", "item").agg(F.sum("n")).collect():
+        if is_word:
+            types[lang][item] = n
+        else:
+            letters[lang].add(item)
+    return CharModels.of_counts(types, letters)
 
 
 def repair_garbled(df: DataFrame, text: str, models: CharModels, out: str = "repair") -> DataFrame:
-    """Adds STRUCT<text, garbled BOOLEAN, layers ARRAY<STRING>>. The models, under two MB, travel with the function. ASCII and null
-    texts don't leave the JVM. Empty text is not garbled."""
+    """Adds STRUCT<text, garbled BOOLEAN, layers ARRAY<STRING>>. The models, under two MB with the samples at hand, travel with the
+    function. ASCII and null texts don't leave the JVM. Empty text is not garbled."""
     repairer = Repairer(models)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..sources import table
 from .charmodels import WORD, CharModels
-from .garbled import TRAIN_ROWS, Repairer, fitted
+from .garbled import Repairer, fitted
 from .markup import parse
 from .rough import rough_sentences
 
+#: At most so many sample rows are read to fit the refined models again.
+TRAIN_ROWS = 5000
 #: Nats between the best and the second language from which a sentence counts as sure.
 SURE = 6.0
 #: Sentences from which a language is present beside another.

@@ -631,3 +631,18 @@ def test_repair_edges(spark, models):
     got = {r["repair"]: (r["out"]["text"], r["out"]["garbled"]) for r in garbled.repair_garbled(df, "text", models, "out").collect()}
     assert got[1] == (None, False) and got[2] == ("", False) and got[3] == ("été passé, l’école", True) and got[5] == ("plain", False) and got[4][0] == "é" * 100_000
     assert garbled.repair_garbled(df.limit(0), "text", models).count() == 0
+
+
+def test_models_of_all_samples(spark, samples, tmp_path):
+    """Not of the first thousands: a language that comes last is known, and words counted in tasks give what the texts give."""
+    rows = [(lang, f"{text} {i}") for i in range(30) for lang, text in samples if lang not in ("ru", "el")] + [s for s in samples if s[0] in ("ru", "el")]
+    odd = [("ru", ""), ("", "text"), (None, "text"), ("ru", None), ("fr", "Cafe\u0301 ΟΔΟΣ"), ("xx", "12 !")]
+    spark.createDataFrame(rows + odd, "lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/a/language_samples.parquet")
+    got, want = garbled.fitted(spark, f"{tmp_path}/a"), CharModels.fit(rows + odd, False)
+    assert len(rows) > 5000 and "ru" in got.langs and got.langs == want.langs
+    assert (got.key, got.alphabets, got.seen) == (want.key, want.alphabets, want.seen)
+    bad = SENTENCES["ru"].encode("koi8-r").decode("cp1251")
+    assert garbled.Repairer(got).repair(f"{SENTENCES['ru']}\n{bad}")[:2] == (f"{SENTENCES['ru']}\n{SENTENCES['ru']}", True)
+    spark.createDataFrame([], "lang string, text string").write.parquet(f"{tmp_path}/b/language_samples.parquet")
+    assert garbled.fitted(spark, f"{tmp_path}/b").langs == []
+    assert garbled.fitted(spark, DIR).key == CharModels.fit(samples, False).key
